@@ -5,20 +5,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segspark.llm import simhash
+from segspark.llm import html, simhash, topk, url_filter
 
 
 def _read(s: SparkSession, d: str, table: str) -> DataFrame:
     return s.read.parquet(f"{d}/{table}.parquet")
 
 
+def op1_topk(s: SparkSession, d: str) -> DataFrame:
+    return topk.search(topk.quantized(_read(s, d, "embeddings")), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op2_simhash(s: SparkSession, d: str) -> DataFrame:
     found = simhash.groups(_read(s, d, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_html(s: SparkSession, d: str) -> DataFrame:
+    return html.extract(_read(s, d, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op8_urls(s: SparkSession, d: str) -> DataFrame:
+    return url_filter.judge(_read(s, d, "pages"), s.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+
+
 QUERIES = {
+    "op1_topk": op1_topk,
     "op2_simhash": op2_simhash,
+    "op3_html": op3_html,
+    "op8_urls": op8_urls,
 }
 
-SQL: dict[str, str] = {}
+_OP1 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.v, v.v)::BIGINT AS score FROM v q, v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 5"""
+
+_OP8 = f"""WITH p AS (SELECT page_id, row_number() OVER () AS r, CASE WHEN contains(url, '://') THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, r, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+t AS (SELECT * FROM (VALUES {", ".join(map(str, URL_RULES))}) t(h, q, v))
+SELECT page_id, host, path, h || q AS rule, coalesce(v, 'allow') AS verdict FROM u
+LEFT JOIN t ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q)
+QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(h || q) DESC) = 1"""
+
+SQL: dict[str, str] = {
+    "op1_topk": _OP1,
+    "op8_urls": _OP8,
+}
