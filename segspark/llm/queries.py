@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segspark.llm import html, simhash, topk, url_filter
+from segspark.llm import bpe, html, repeats, simhash, topk, url_filter
 
 
 def _read(s: SparkSession, d: str, table: str) -> DataFrame:
@@ -32,11 +33,21 @@ def op8_urls(s: SparkSession, d: str) -> DataFrame:
     return url_filter.judge(_read(s, d, "pages"), s.createDataFrame(URL_RULES, "host string, path string, verdict string"))
 
 
+def op9_bpe(s: SparkSession, d: str) -> DataFrame:
+    return bpe.digests(_read(s, d, "documents"), bpe.Vocabulary(s, public_tokenizers.path(bpe.RANKS)))
+
+
+def op10_repeats(s: SparkSession, d: str) -> DataFrame:
+    return repeats.remove(_read(s, d, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_simhash": op2_simhash,
     "op3_html": op3_html,
     "op8_urls": op8_urls,
+    "op9_bpe": op9_bpe,
+    "op10_repeats": op10_repeats,
 }
 
 _OP1 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
