@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segspark.llm import bpe, contamination, html, quality, repeats, simhash, topk, url_filter
+from segspark.llm import bpe, contamination, html, pii, quality, repeats, shards, simhash, topk, url_filter
 
 
 def _read(s: SparkSession, d: str, table: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_html(s: SparkSession, d: str) -> DataFrame:
     return html.extract(_read(s, d, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op4_pii(s: SparkSession, d: str) -> DataFrame:
+    return pii.replace(_read(s, d, "documents").select("doc_id", "text"))
+
+
 def op5_contamination(s: SparkSession, d: str) -> DataFrame:
     return contamination.matches(_read(s, d, "documents"), _read(s, d, "benchmark"))
 
@@ -35,6 +39,11 @@ def op6_quality(s: SparkSession, d: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_shards(s: SparkSession, d: str) -> DataFrame:
+    docs = _read(s, d, "documents")
+    return shards.materialise(docs, shards.new_folder(docs))
+
+
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
@@ -54,8 +63,10 @@ QUERIES = {
     "op1_topk": op1_topk,
     "op2_simhash": op2_simhash,
     "op3_html": op3_html,
+    "op4_pii": op4_pii,
     "op5_contamination": op5_contamination,
     "op6_quality": op6_quality,
+    "op7_shards": op7_shards,
     "op8_urls": op8_urls,
     "op9_bpe": op9_bpe,
     "op10_repeats": op10_repeats,
