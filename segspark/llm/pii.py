@@ -80,6 +80,11 @@ def _digest(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\u0000", F.lit(KEY), *parts).cast("binary"), 512)
 
 
+def _let(value: Column, of) -> Column:
+    """An expression of a value that is evaluated once."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def _draw(digest: Column, i: Column, most: int) -> Column:
     """A number below most, from the i-th (from 0) of 31 places of a digest."""
     return F.pmod(F.conv(F.substring(digest, (i % 31) * 4 + 1, F.lit(4)), 16, 10).cast("int"), F.lit(most))
@@ -134,38 +139,53 @@ def _name(canonical: Column, attempt: Column) -> Column:
     title = F.regexp_extract(canonical, r"^[^ .]+\.? ", 0)
     rest = F.split(F.substring(canonical, F.length(title) + 1, F.length(canonical)), " ")
     script, gender = _script(F.element_at(rest, -1)), _gender(canonical)
-    given_digest, family_digest = _digest(F.lit("given"), gender, F.element_at(rest, 1), attempt), _digest(F.lit("family"), F.element_at(rest, -1), attempt)
-    lists = []
-    for (s, g), names in GIVEN.items():
-        both = names if g == "m" else names  # without a known gender one of both lists
-        pick = F.element_at(F.array(*map(F.lit, both)), _draw(given_digest, F.lit(0), len(both)) + 1)
-        other = _draw(given_digest, F.lit(1), 2) == (0 if g == "m" else 1)
-        lists.append(((script == s) & ((gender == g) | ((gender == "n") & other)), pick))
-    given = reduce(lambda c, t: c.when(*t), lists[1:], F.when(*lists[0]))
-    families = [(s, F.concat(*(F.element_at(F.array(*map(F.lit, x)), _draw(family_digest, F.lit(i), len(x)) + 1) for i in range(4)))) for s, x in SYLLABLES.items()]
-    family = reduce(lambda c, t: c.when(script == t[0], t[1]), families[1:], F.when(script == families[0][0], families[0][1]))
-    return F.lower(F.concat(title, F.when(F.size(rest) > 1, F.concat(given, F.lit(" "))).otherwise(""), family))
+
+    def given(digest: Column) -> Column:
+        lists = []
+        for (s, g), names in GIVEN.items():
+            pick = F.element_at(F.array(*map(F.lit, names)), _draw(digest, F.lit(0), len(names)) + 1)
+            either = (gender == "n") & (_draw(digest, F.lit(1), 2) == (0 if g == "m" else 1))
+            lists.append(((script == s) & ((gender == g) | either), pick))
+        return reduce(lambda c, t: c.when(*t), lists[1:], F.when(*lists[0]))
+
+    def family(digest: Column) -> Column:
+        made = [(s, F.concat(*(F.element_at(F.array(*map(F.lit, x)), _draw(digest, F.lit(i), len(x)) + 1) for i in range(4)))) for s, x in SYLLABLES.items()]
+        return reduce(lambda c, t: c.when(script == t[0], t[1]), made[1:], F.when(script == made[0][0], made[0][1]))
+
+    first = _let(_digest(F.lit("given"), gender, F.element_at(rest, 1), attempt), given)
+    return F.lower(F.concat(title, F.when(F.size(rest) > 1, F.concat(first, F.lit(" "))).otherwise(""), _let(_digest(F.lit("family"), F.element_at(rest, -1), attempt), family)))
 
 
 def surrogate_of(kind: Column, canonical: Column, attempt: Column) -> Column:
     """The canonical form of the surrogate."""
-    n = attempt.cast("string")
-    digest = _digest(kind, canonical, n)
-    domain = F.regexp_extract(canonical, "@(.*)$", 1)
-    top = F.regexp_extract(domain, r"\.[^.]*$", 0)
-    labels = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
-    no = F.lit(False)
-    email = F.concat(_like(F.regexp_extract(canonical, "^[^@]*", 0), digest, F.lit(0), no), F.lit("@"), _like(labels, _digest(F.lit("domain"), domain), F.lit(0), no), top)
-    ip = F.concat_ws(".", *(F.when(F.lit(True), _draw(digest, F.lit(i), 254) + 1).cast("string") for i in range(4)))
-    like = _like(canonical, digest, F.when(kind.isin("card"), 1).when(kind == "iban", 2).when(F.startswith(canonical, F.lit("+")), 2).otherwise(0), (kind == "secret") & F.regexp_like(canonical, F.lit("^[0-9a-f]+$")))
-    short = F.substring(like, F.lit(1), F.length(like) - 1)
-    # the test digit is that of all digits before it
-    valid = F.substring(canonical, F.length(canonical), F.lit(1)) == _check_digit(canonical)
-    card = F.when(valid, F.concat(short, _check_digit(like))).otherwise(like)
-    longer = F.when(attempt >= LONGER, F.substring(digest, F.lit(1), attempt - LONGER + 1)).otherwise("")
-    tail = F.when(kind.isin("email", "name", "secret"), longer).otherwise(F.translate(longer, "abcdef", "012345"))
-    made = F.when(kind == "email", F.concat(tail, email)).when(kind == "ip", ip).when(kind == "card", card).when(kind == "name", _name(canonical, n)).otherwise(like)
-    return F.when(kind.isin("email", "ip"), made).otherwise(F.concat(made, tail))
+    no, zero = F.lit(False), F.lit(0)
+
+    def email(digest: Column) -> Column:
+        domain = F.regexp_extract(canonical, "@(.*)$", 1)
+        top = F.regexp_extract(domain, r"\.[^.]*$", 0)
+        labels = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
+        return F.concat(_like(F.regexp_extract(canonical, "^[^@]*", 0), digest, zero, no), F.lit("@"), _let(_digest(F.lit("domain"), domain), lambda d: _like(labels, d, zero, no)), top)
+
+    def card(like: Column) -> Column:
+        # the test digit is that of all digits before it
+        valid = F.substring(canonical, F.length(canonical), F.lit(1)) == _check_digit(canonical)
+        return F.when(valid, F.concat(F.substring(like, F.lit(1), F.length(like) - 1), _check_digit(like))).otherwise(like)
+
+    def made(digest: Column) -> Column:
+        plus = F.startswith(canonical, F.lit("+"))
+        hexadecimal = (kind == "secret") & F.regexp_like(canonical, F.lit("^[0-9a-f]+$"))
+        kept = F.when(kind == "card", 1).when(plus | (kind == "iban"), 2).otherwise(0)
+        longer = F.when(attempt >= LONGER, F.substring(digest, F.lit(1), attempt - LONGER + 1)).otherwise("")
+        tail = F.when(kind.isin("name", "secret"), longer).otherwise(F.translate(longer, "abcdef", "012345"))
+        return (
+            F.when(kind == "email", F.concat(longer, email(digest)))
+            .when(kind == "ip", F.concat_ws(".", *((_draw(digest, F.lit(i), 254) + 1).cast("string") for i in range(4))))
+            .when(kind == "name", F.concat(_name(canonical, attempt.cast("string")), tail))
+            .when(kind == "card", F.concat(_let(_like(canonical, digest, kept, no), card), tail))
+            .otherwise(F.concat(_like(canonical, digest, kept, hexadecimal), tail))
+        )
+
+    return _let(_digest(kind, canonical, attempt.cast("string")), made)
 
 
 def _shaped(kind: Column, mention: Column, made: Column) -> Column:
@@ -173,10 +193,13 @@ def _shaped(kind: Column, mention: Column, made: Column) -> Column:
 
     def numbers() -> Column:
         before = lambda i: F.length(F.regexp_replace(F.substring(mention, F.lit(1), i), "[^A-Za-z0-9]", ""))
-        plain = F.regexp_replace(made, "[^A-Za-z0-9]", "")
-        one = lambda i: F.when(F.substring(mention, i, F.lit(1)).rlike("[A-Za-z0-9]"), F.substring(plain, before(i), F.lit(1))).otherwise(F.substring(mention, i, F.lit(1)))
-        rest = F.substring(plain, before(F.length(mention)) + 1, F.length(plain))
-        return F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.length(mention)), one), ""), rest)
+
+        def laid(plain: Column) -> Column:
+            one = lambda i: F.when(F.substring(mention, i, F.lit(1)).rlike("[A-Za-z0-9]"), F.substring(plain, before(i), F.lit(1))).otherwise(F.substring(mention, i, F.lit(1)))
+            rest = F.substring(plain, before(F.length(mention)) + 1, F.length(plain))
+            return F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.length(mention)), one), ""), rest)
+
+        return _let(F.regexp_replace(made, "[^A-Za-z0-9]", ""), laid)
 
     upper = F.when(F.regexp_like(mention, F.lit(r"^[^\p{Ll}]+$")), F.upper(made)).otherwise(made)
     return F.when(kind.isin("card", "phone", "ssn", "iban"), numbers()).when(kind == "email", upper).when(kind == "name", F.when(F.regexp_like(mention, F.lit(r"^[^\p{Ll}]+$")), F.upper(made)).otherwise(F.initcap(made))).otherwise(made)
@@ -196,18 +219,19 @@ def entities(docs: DataFrame) -> DataFrame:
 
 def attempts(found: DataFrame) -> DataFrame:
     """(kind, canonical, attempt) of the entities whose first draw collides, under attempts that don't."""
-    now = written(found.select("kind", "canonical", F.lit(0).alias("attempt")))
+    made = surrogate_of(F.col("kind"), F.col("canonical"), F.col("attempt")).alias("made")
+    now = written(found.select("kind", "canonical", F.lit(0).alias("attempt")).select("*", made))
     while True:
-        drawn = now.select("*", surrogate_of(F.col("kind"), F.col("canonical"), F.col("attempt")).alias("made"))
         # of those that draw the same one keeps it: the one with the fewest attempts, then the smallest
-        kept = drawn.groupBy("kind", "made").agg(F.min(F.struct("attempt", "canonical")).alias("first"), F.count("*").alias("n"))
-        twice = drawn.join(kept.where("n > 1"), ["kind", "made"]).where(F.struct("attempt", "canonical") != F.col("first")).select("kind", "canonical")
-        real = drawn.join(now.select("kind", F.col("canonical").alias("made")), ["kind", "made"], "left_semi").select("kind", "canonical")
+        kept = now.groupBy("kind", "made").agg(F.min(F.struct("attempt", "canonical")).alias("first"), F.count("*").alias("n"))
+        twice = now.join(kept.where("n > 1"), ["kind", "made"]).where(F.struct("attempt", "canonical") != F.col("first")).select("kind", "canonical")
+        real = now.join(now.select("kind", F.col("canonical").alias("made")), ["kind", "made"], "left_semi").select("kind", "canonical")
         again = written(twice.union(real).distinct())
         if again.isEmpty():
             delete(again)
-            return now.where("attempt > 0")
-        next_ = written(now.join(again.withColumn("again", F.lit(1)), ["kind", "canonical"], "left").select("kind", "canonical", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")))
+            return now.where("attempt > 0").drop("made")
+        new = now.join(again, ["kind", "canonical"]).select("kind", "canonical", (F.col("attempt") + 1).alias("attempt")).select("*", made)
+        next_ = written(now.join(again, ["kind", "canonical"], "left_anti").select(*now.columns).union(new))
         delete(now, again)
         now = next_
 
@@ -228,7 +252,7 @@ def replace(docs: DataFrame) -> DataFrame:
         drawn = wanted.join(found, ["kind", "canonical"]).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u0000", "kind", "canonical"), "attempt"))).alias("drawn"))
         rows = keyed.join(drawn, "row", "left")
     attempt = lambda m: F.coalesce(F.element_at(F.col("drawn"), F.concat_ws("\u0000", m["kind"], m["canonical"])), F.lit(0))
-    made = F.transform("found", lambda m: _shaped(m["kind"], m["mention"], surrogate_of(m["kind"], m["canonical"], attempt(m))))
+    made = F.transform("found", lambda m: _let(surrogate_of(m["kind"], m["canonical"], attempt(m)), lambda made: _shaped(m["kind"], m["mention"], made)))
     between = F.split("text", ANY, -1)
     text = F.when(F.size("found") > 0, F.array_join(F.flatten(F.zip_with(between, made, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")).otherwise(F.col("text"))
     return rows.select(*(F.col(f"kept.`{c}`").alias(c) for c in columns), text.alias("text"), F.size("found").cast("long").alias("n_entities"))
