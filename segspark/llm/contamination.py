@@ -14,6 +14,7 @@ words than a shingle counts as one. Repeated documents and items give a row each
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -88,39 +89,75 @@ class Items:
         return out
 
 
-def _search(rows: list[tuple], size: int, share: float, docs: DataFrame) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(rows)
-    cache: dict = {}
+class _Search:
+    """Finds verified matches in batches of texts, with items that are sent out once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if "items" not in cache:
-            cache["items"] = Items(sent.value, size)
-        items = cache["items"]
-        for batch, texts in T.chunks(batches, "text"):
-            h, doc = _hashes(texts, size)
-            at = np.searchsorted(doc, np.arange(len(texts) + 1))
-            found, whole = [], {}
-            for d, i in sorted(items.near(h, doc)):
-                if d not in whole:
-                    whole[d] = np.unique(h[at[d] : at[d + 1]])
-                n = int(np.isin(items.sets[i], whole[d], assume_unique=True).sum())
-                if n >= share * len(items.sets[i]):
-                    found.append((d, items.ids[i], n, len(items.sets[i])))
-            if found:
-                d, i, n, of = zip(*found)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(d)), *(pa.array(x, pa.int64()) for x in (i, n, of))], ["doc_id", "item_id", "n_shared", "n_shingles"])
+    def __init__(self, rows: list[tuple], size: int, share: float, docs: DataFrame):
+        self.sent, self.size, self.share, self.key = docs.sparkSession.sparkContext.broadcast(rows), size, share, uuid.uuid4().hex
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, n_shared long, n_shingles long")
+    def items(self) -> Items:
+        if self.key not in _built:
+            _built.clear()
+            _built[self.key] = Items(self.sent.value, self.size)
+        return _built[self.key]
 
+    def of(self, texts: list[bytes]) -> list[tuple]:
+        """(text number, item_id, shared, shingles) of each match."""
+        items = self.items()
+        h, doc = _hashes(texts, self.size)
+        at = np.searchsorted(doc, np.arange(len(texts) + 1))
+        found, whole = [], {}
+        for d, i in sorted(items.near(h, doc)):
+            if d not in whole:
+                whole[d] = np.unique(h[at[d] : at[d + 1]])
+            n = int(np.isin(items.sets[i], whole[d], assume_unique=True).sum())
+            if n >= self.share * len(items.sets[i]):
+                found.append((d, items.ids[i], n, len(items.sets[i])))
+        return found
 
-def matches(docs: DataFrame, items: DataFrame, size: int = SHINGLE, share: float = SHARE, block_bytes: int = ITEM_BLOCK_BYTES) -> DataFrame:
-    """(doc_id, item_id, n_shared, n_shingles): documents that hold at least ``share`` of an item's different shingles."""
+
+_built: dict[str, Items] = {}
+
+
+def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
+    """The items in blocks of bounded size."""
     listed = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = listed.agg(F.sum(F.octet_length("text") + 16).alias("n")).first().n or 0
     n = max(1, -(-total // block_bytes))
-    if n == 1:
-        blocks = [listed.collect()]
-    else:  # one block after the other, each bounded
-        part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-        blocks = (listed.where(part == i).collect() for i in range(n))
-    return reduce(DataFrame.union, [_search([(r.item_id, r.text.encode()) for r in b], size, share, docs) for b in blocks])
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    for i in range(n):
+        yield [(r.item_id, r.text.encode()) for r in (listed.where(part == i) if n > 1 else listed).collect()]
+
+
+def matches(docs: DataFrame, items: DataFrame, size: int = SHINGLE, share: float = SHARE, block_bytes: int = ITEM_BLOCK_BYTES) -> DataFrame:
+    """(doc_id, item_id, n_shared, n_shingles): documents that hold at least ``share`` of an item's different shingles."""
+
+    def one(block: list[tuple]) -> DataFrame:
+        search = _Search(block, size, share, docs)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, texts in T.chunks(batches, "text"):
+                if found := search.of(texts):
+                    d, *rest = zip(*found)
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(d)), *(pa.array(x, pa.int64()) for x in rest)], ["doc_id", "item_id", "n_shared", "n_shingles"])
+
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, n_shared long, n_shingles long")
+
+    return reduce(DataFrame.union, map(one, _blocks(items, block_bytes)))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, size: int = SHINGLE, share: float = SHARE, block_bytes: int = ITEM_BLOCK_BYTES) -> DataFrame:
+    """The documents without those that match an item; all columns are kept."""
+
+    def one(rest: DataFrame, block: list[tuple]) -> DataFrame:
+        search = _Search(block, size, share, docs)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, texts in T.chunks(batches, "text"):
+                keep = np.ones(len(texts), bool)
+                keep[[d for d, *_ in search.of(texts)]] = False
+                yield batch.filter(pa.array(keep))
+
+        return rest.mapInArrow(run, rest.schema)
+
+    return reduce(one, _blocks(items, block_bytes), docs)

@@ -206,3 +206,19 @@ def groups(docs: DataFrame, shingle: int = 3, n: int = 1, distance: int = 3, seg
 
 #: Nodes of rows without a doc_id start here; doc_ids are smaller.
 _NO_ID = 1 << 62
+
+
+def deduplicate(docs: DataFrame, shingle: int = 5, n: int = 2, distance: int = 20, segments: int = 6) -> DataFrame:
+    """The documents of which one of each group stays, that with the smallest doc_id; all columns are kept.
+
+    By default 128 bits of five-word shingles within 20 bits, which is a similarity of the shingle sets
+    of about 0.8. Six segments of 21 bits meet for 0.93 of the pairs of similarity 0.9, 0.99 of those
+    of 0.95, and all exact copies. Rows that share a doc_id are one document: one of them stays. Rows
+    without a doc_id stay.
+    """
+    found = groups(docs, shingle, n, distance, segments)
+    keep = found.where("doc_id = component_id").select("doc_id").distinct()
+    known = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi")
+    if not keep.isEmpty() and not found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
+        known = known.dropDuplicates(["doc_id"])
+    return known.select(*docs.columns).union(docs.where("doc_id is null"))
