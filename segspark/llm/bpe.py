@@ -1,12 +1,13 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
 Texts are cut into pre-tokens. Texts of a task are put together into blocks; a block sends each of
-its distinct pre-tokens once, with the list of its positions. These rows are shuffled by word, each
-distinct word is encoded once, and its ids go back to the blocks, where they are put in order by
+its distinct pre-tokens once, with the list of its positions. Words are shuffled by their hash: a
+block's words of one bucket, and their positions, are one compressed message. In its bucket each
+distinct word is encoded once, and the ids go back to the blocks, where they are put in order by
 position. Decoding joins the table of token bytes.
 
 A null text is an empty one: no ids. Rows with null or repeated doc_id give a row each. A frequent
-word is one row for each block, not for each occurrence. Extra columns are not read.
+word is sent once by each block, not for each occurrence. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -20,12 +21,17 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import tiktoken
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from segspark.llm.text import xxh64
+
 #: Characters of the texts of a block, about: bounds a task's memory (a longer text is a block of its own).
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 6_000_000
+#: Buckets of words for each partition of a shuffle.
+BUCKETS = 4
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -107,8 +113,24 @@ def _from_parts(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
 
 
-def _blocks(limit: int):
-    """Rows (block, word, places) of the texts' blocks, and one with their documents: word is null there."""
+def _message(sizes: np.ndarray, parts: list[bytes]) -> bytes:
+    """Lengths of some binaries, and the binaries, compressed for the shuffle."""
+    return zstandard.compress(np.concatenate([[len(sizes)], sizes]).astype("<u4").tobytes() + b"".join(parts), 3)
+
+
+def _parts(message: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and bytes of the binaries."""
+    data = np.frombuffer(zstandard.decompress(message), np.uint8)
+    at = 4 + 4 * int(data[:4].view("<u4")[0])
+    return data[4:at].view("<u4").astype(np.int64), data[at:]
+
+
+_NAMES = ["block", "bucket", "words", "places"]
+_SCHEMA = "block long, bucket int, words binary, places binary"
+
+
+def _blocks(limit: int, buckets: int):
+    """The messages of the texts' blocks: the words of each bucket, and their places. One row of a block, of bucket -1, tells of its documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, number = TaskContext.get().partitionId() << 32, 0
@@ -126,82 +148,98 @@ def _blocks(limit: int):
                     held.append((part.column("doc_id"), np.diff(np.asarray(lists.offsets)), lists.flatten()))
                     size += int(sizes[stop - 1] - (sizes[start - 1] if start else 0))
                 if stop < batch.num_rows:
-                    yield from block(base + number, held)
+                    yield block(base + number, held)
                     held, size, number = [], 0, number + 1
                 start = stop
         if held:
-            yield from block(base + number, held)
+            yield block(base + number, held)
 
-    def block(number: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def block(number: int, held: list[tuple]) -> pa.RecordBatch:
         ids = pa.concat_arrays([x[0] for x in held])
         counts = np.concatenate([x[1] for x in held]).astype(np.int64)
         coded = pa.concat_arrays([x[2] for x in held]).dictionary_encode()
-        index = coded.indices.to_numpy()
+        words, ends = _bytes(coded.dictionary.cast(pa.large_binary()))
+        n = len(ends) - 1
+        bucket = (xxh64(words.tobytes(), ends[:-1], ends[1:]) % np.uint64(buckets)).astype(np.int64)
+        rank = np.empty(n, np.int64)
+        by_bucket = np.argsort(bucket, kind="stable")
+        rank[by_bucket] = np.arange(n)
+        index = rank[coded.indices.to_numpy()]
         order = np.argsort(index, kind="stable")
-        n = len(coded.dictionary)
-        places = pack(order, index[order], n).cast(pa.binary())
+        places, place_ends = _bytes(pack(order, index[order], n))
+        texts = words.tobytes()
         known = np.asarray(ids.is_valid()).astype(np.uint8)
         about = np.asarray(ids.fill_null(0)).astype("<i8").tobytes() + counts.astype("<i8").tobytes() + known.tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([None], pa.binary()), _from_parts([about])], _NAMES)
-        for at in range(0, n, 20_000):
-            words = coded.dictionary.slice(at, 20_000).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), number)), words, places.slice(at, 20_000)], _NAMES)
+        cuts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1)).tolist()
+        to, sent, kept = [-1], [None], [about]
+        starts, lengths = ends[:-1].tolist(), np.diff(ends)
+        for i in range(buckets):
+            a, b = cuts[i], cuts[i + 1]
+            if b > a:
+                own = by_bucket[a:b]
+                parts = [texts[starts[j] : starts[j] + k] for j, k in zip(own.tolist(), lengths[own].tolist())]
+                sent.append(_message(lengths[own], parts))
+                kept.append(_message(np.diff(place_ends[a : b + 1]), [places[place_ends[a] : place_ends[b]].tobytes()]))
+                to.append(i)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(to), number)), pa.array(to, pa.int32()), _from_parts(sent), _from_parts(kept)], _NAMES)
 
     return run
 
 
-_NAMES = ["block", "word", "places"]
+def _words_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(batch.column("words").is_valid()).select(_NAMES[:3])
 
 
 def _encode_words(vocabulary: Vocabulary):
-    """(block, ids, places): the ids of each row's word. Rows are sorted by word, so equal words are encoded once."""
+    """The messages with ids in the place of words. Rows are sorted by bucket, so each distinct word is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = vocabulary.encoder()
-        last, last_ids = None, b""
+        encode = vocabulary.encoder().encode_ordinary
+        known: dict[bytes, bytes] = {}
+        last = None
         for batch in batches:
-            coded = batch.column("word").dictionary_encode()
-            ids = []
-            for word in coded.dictionary.to_pylist():
-                if word != last:
-                    last, last_ids = word, np.asarray(encoder.encode_ordinary(word.decode()), "<u4").tobytes()
-                ids.append(last_ids)
-            taken = _from_parts(ids).take(coded.indices)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), taken, batch.column("places")], ["block", "ids", "places"])
+            out = []
+            for bucket, message in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist()):
+                if bucket != last:
+                    last, known = bucket, {}
+                lengths, words = _parts(message)
+                text, at, ids = words.tobytes(), 0, []
+                for n in lengths.tolist():
+                    word = text[at : at + n]
+                    at += n
+                    if (got := known.get(word)) is None:
+                        got = known[word] = np.array(encode(word.decode()), "<u4").tobytes()
+                    ids.append(got)
+                out.append(_message(np.fromiter(map(len, ids), np.int64, len(ids)), ids))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], _from_parts(out)], ["block", "bucket", "ids"])
 
     return run
 
 
-def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, ids) of each document; rows are sorted by block."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        number = batch.column("block").to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
-            if held and b > a and held[-1].column("block")[0] != batch.column("block")[a]:
-                yield from _documents(pa.Table.from_batches(held))
-                held = []
-            if b > a:
-                held.append(batch.slice(a, b - a))
-    if held:
-        yield from _documents(pa.Table.from_batches(held))
+def _reassemble(kept: pa.Table, coded: pa.Table) -> pa.Table:
+    """(doc_id, ids) of each document of a block."""
+    about = kept.filter(pa.compute.equal(kept.column("bucket"), -1)).column("places")[0].as_py()
+    places = dict(zip(kept.column("bucket").to_pylist(), kept.column("places").to_pylist()))
+    messages = [(ids, places[i]) for i, ids in zip(coded.column("bucket").to_pylist(), coded.column("ids").to_pylist())]
+    return pa.Table.from_batches(_documents(about, messages))
 
 
-def _documents(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    is_doc = rows.column("ids").is_null()
-    about = rows.filter(is_doc).column("places")[0].as_py()
+def _documents(about: bytes, messages: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
     n = len(about) // 17
     doc_ids, counts = np.frombuffer(about, "<i8", n), np.frombuffer(about, "<i8", n, 8 * n)
     known = np.frombuffer(about, np.uint8, n, 16 * n).astype(bool)
-    words = rows.filter(pa.compute.invert(is_doc)).cast(pa.schema([("block", pa.int64()), ("ids", pa.large_binary()), ("places", pa.large_binary())])).combine_chunks()
     total = int(counts.sum())
     if total:
-        place, uses = unpack(*_bytes(words.column("places").chunk(0)))
-        data, offsets = _bytes(words.column("ids").chunk(0))
+        lengths, data = (np.concatenate(x) for x in zip(*(_parts(ids) for ids, _ in messages)))
+        place_lengths, places = (np.concatenate(x) for x in zip(*(_parts(p) for _, p in messages)))
+        place, uses = unpack(places, np.concatenate([[0], np.cumsum(place_lengths)]))
+        if len(place) != total:
+            raise RuntimeError(f"A block of {total} pre-tokens came back with {len(place)}.")
         word_at = np.empty(total, np.int32)
         word_at[place] = np.repeat(np.arange(len(uses), dtype=np.int32), uses)
-        starts, lengths = offsets[:-1] // 4, np.diff(offsets) // 4
+        lengths //= 4
+        starts = np.cumsum(lengths) - lengths
         n_ids = lengths[word_at]
         to = np.cumsum(n_ids)
         ids = data.view("<u4")[np.repeat(starts[word_at] - (to - n_ids), n_ids) + np.arange(to[-1])]
@@ -217,33 +255,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, block_chars: int = BLOCK_CHA
     """(doc_id, ids): the ids of every text as little-endian unsigned 32-bit integers."""
     text = F.coalesce("text", F.lit(""))
     words = F.regexp_extract_all(text, F.lit(java_pattern(vocabulary.pattern)), F.lit(0))
-    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text).cast("long").alias("n"), words.alias("words")).mapInArrow(_blocks(block_chars), "block long, word binary, places binary")
-    spread = F.when(F.col("word").isNull(), F.xxhash64("block")).otherwise(F.xxhash64("word"))
-    coded = sent.repartition(spread).sortWithinPartitions("word").mapInArrow(_encode_rows(vocabulary), "block long, ids binary, places binary")
-    return coded.repartition("block").sortWithinPartitions("block").mapInArrow(_reassemble, "doc_id long, ids binary")
-
-
-def _encode_rows(vocabulary: Vocabulary):
-    """As _encode_words, with the documents' rows passed on."""
-    encode_words = _encode_words(vocabulary)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def split():
-            for batch in batches:
-                about = batch.filter(batch.column("word").is_null())
-                if about.num_rows:
-                    passed.append(about.rename_columns(["block", "ids", "places"]))
-                if batch.num_rows > about.num_rows:
-                    yield batch.filter(batch.column("word").is_valid())
-
-        passed: list[pa.RecordBatch] = []
-        for out in encode_words(split()):
-            yield from passed
-            passed.clear()
-            yield out
-        yield from passed
-
-    return run
+    # a bucket's distinct words must fit into a task's memory: their number follows that of the shuffle's partitions
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text).cast("long").alias("n"), words.alias("words")).mapInArrow(_blocks(block_chars, buckets), _SCHEMA)
+    # one shuffle by block, which is read twice: its words go on to their buckets and come back as ids, its places stay
+    blocks = sent.repartition("block")
+    coded = blocks.mapInArrow(_words_only, "block long, bucket int, words binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(vocabulary), "block long, bucket int, ids binary")
+    return blocks.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_reassemble, "doc_id long, ids binary")
 
 
 def decode(coded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
