@@ -30,7 +30,8 @@ SHINGLE, SHARE = 5, 0.8
 HASHES = 64
 ITEM_BLOCK_BYTES = 16 << 20
 SMALLEST = 3  # items of up to 2**3 shingles are one partition
-_FILTER_BITS = 20
+#: Most bits that a partition's filter of minima is addressed by, for each hash function: 2**18 bytes each.
+_FILTER_BITS = 18
 
 _rng = np.random.default_rng(5)
 _A = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -50,16 +51,18 @@ class Items:
         at = np.searchsorted(owner, np.arange(len(rows) + 1))
         self.ids = [r[0] for r in rows]
         self.sets = [np.unique(h[a:b]) for a, b in zip(at, at[1:])]
-        self.parts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.parts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.uint64]] = {}
         level = np.array([max(SMALLEST, int(len(s) - 1).bit_length()) for s in self.sets])
         with np.errstate(over="ignore"):
             for c in sorted(set(level[[len(s) > 0 for s in self.sets]].tolist())) if len(rows) else []:
                 own = [i for i in np.flatnonzero(level == c) if len(self.sets[i])]
                 low = np.array([[(self.sets[i] * a + b).min() for a, b in zip(_A, _B)] for i in own])
-                might = np.zeros((HASHES, 1 << _FILTER_BITS), bool)
+                bits = min(_FILTER_BITS, len(own).bit_length() + 5)
+                might, shift = np.zeros((HASHES, 1 << bits), bool), np.uint64(64 - bits)
                 for j in range(HASHES):
-                    might[j, low[:, j] >> np.uint64(64 - _FILTER_BITS)] = True
-                self.parts[c] = (np.array(own), low, might)
+                    might[j, low[:, j] >> shift] = True
+                order = np.argsort(low, axis=0)
+                self.parts[c] = (np.array(own)[order].T, np.take_along_axis(low, order, 0).T, might, shift)
 
     def near(self, h: np.ndarray, doc: np.ndarray) -> set[tuple[int, int]]:
         """Possible (text, item) pairs for the shingle hashes of some texts, in text order."""
@@ -80,12 +83,14 @@ class Items:
                     pairs = np.flatnonzero(at % 2 == 0)
                     low, text, at = np.minimum.reduceat(low, pairs), text[pairs], at[pairs] >> 1
                 if c in self.parts:
-                    items, lows, might = self.parts[c]
+                    items, lows, might, shift = self.parts[c]
                     window = low.copy()
                     joined = text[1:] == text[:-1]
                     window[:-1][joined] = np.minimum(low[:-1], low[1:])[joined]
-                    for w in np.flatnonzero(might[j][window >> np.uint64(64 - _FILTER_BITS)]):
-                        out.update((int(text[w]), int(items[i])) for i in np.flatnonzero(lows[:, j] == window[w]))
+                    hits = np.flatnonzero(might[j][window >> shift])
+                    left, right = (np.searchsorted(lows[j], window[hits], side) for side in ("left", "right"))
+                    for w, a, b in zip(hits[right > left], left[right > left], right[right > left]):
+                        out.update((int(text[w]), int(i)) for i in items[j, a:b])
         return out
 
 
