@@ -6,10 +6,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: Text bytes that are worked on at once: bounds a Python worker's memory (a single longer text is one chunk).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 # The primes of XXH64.
@@ -21,15 +22,14 @@ _VECTOR_LIMIT = 256
 def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with about ``limit`` bytes of text, and their texts as bytes; null texts are empty."""
     for batch in batches:
-        texts = [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
-        start = size = 0
-        for i, t in enumerate(texts):
-            if size and size + len(t) > limit:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, size = i, 0
-            size += len(t)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        texts = batch.column(column)
+        ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < len(texts):
+            room = limit + (ends[start - 1] if start else 0)
+            stop = max(start + 1, int(np.searchsorted(ends, room, "right")))
+            yield batch.slice(start, stop - start), [t or b"" for t in texts.slice(start, stop - start).cast(pa.binary()).to_pylist()]
+            start = stop
 
 
 def words(texts: list[bytes], lower: bool = True) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
