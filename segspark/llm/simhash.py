@@ -25,6 +25,8 @@ from segspark.llm.shared import components, delete, written
 
 #: Rows of one key that one task compares; larger groups are compared in pairs of blocks of that size.
 BLOCK = 2048
+#: Keys of up to so many rows are compared row by row at equal offsets, for all keys of a batch at once.
+SMALL = 64
 
 
 def _bits(h: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
@@ -97,15 +99,27 @@ def _forest(node: np.ndarray, f: np.ndarray, most: int) -> list[tuple[int, int]]
 
 
 def _runs(key: np.ndarray, node: np.ndarray, f: np.ndarray, most: int) -> np.ndarray:
-    """Links of all keys; rows are sorted by key. First each row is held against its key's first row, all at once."""
+    """Links of all keys; rows are sorted by key. First each row is held against its key's first row, all at once.
+
+    What is not near the first row is held against the others: in keys of up to SMALL rows all at once too.
+    """
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     sizes = np.diff([*starts, len(key)])
     first = np.repeat(starts, sizes)
     near = _distance(f, f[first]) <= most
     linked = near & (first != np.arange(len(key)))
     pairs = [np.stack([node[first[linked]], node[linked]], 1)]
-    missed = np.add.reduceat(~near, starts) > 0
-    for s, n in zip(starts[missed & (sizes > 2)].tolist(), sizes[missed & (sizes > 2)].tolist()):
+    missed = (np.add.reduceat(~near, starts) > 0) & (sizes > 2)
+    end = np.repeat(starts + sizes, sizes)
+    rest = np.flatnonzero(np.repeat(missed & (sizes <= SMALL), sizes) & (first != np.arange(len(key))))
+    for step in range(1, SMALL):
+        rest = rest[rest + step < end[rest]]
+        if not len(rest):
+            break
+        a = rest[~(near[rest] & near[rest + step])]
+        a = a[_distance(f[a], f[a + step]) <= most]
+        pairs.append(np.stack([node[a], node[a + step]], 1))
+    for s, n in zip(starts[missed & (sizes > SMALL)].tolist(), sizes[missed & (sizes > SMALL)].tolist()):
         if more := _forest(node[s : s + n], f[s : s + n], most):
             pairs.append(np.array(more, np.int64))
     return np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
@@ -177,7 +191,7 @@ def links(prints: DataFrame, n: int = 1, distance: int = 3, segments: int = 2, b
     """
     rows = variants(prints, n, segments)
     run, schema = _link_sorted(n, distance, block, ["key"], True)
-    first = written(rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema))
+    first = written(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, schema))
     found = first.where("kind = 0").select("a", "b")
     large = first.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), *(f"f{j}" for j in range(n)))
     if not large.isEmpty():
@@ -186,20 +200,48 @@ def links(prints: DataFrame, n: int = 1, distance: int = 3, segments: int = 2, b
         placed = large.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
         pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("key", "node", *(f"f{j}" for j in range(n)), F.least("own", "other").cast("long").alias("i"), F.greatest("own", "other").cast("long").alias("j"))
         run, schema = _link_sorted(n, distance, block, ["key", "i", "j"], False)
-        more = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
+        more = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(run, schema)
         found = found.union(more.select("a", "b"))
     return found.distinct()
 
 
-def groups(docs: DataFrame, shingle: int = 3, n: int = 1, distance: int = 3, segments: int = 2, block: int = BLOCK) -> DataFrame:
-    """(doc_id, f0, ..., component_id): component_id is the smallest doc_id that links can reach."""
+def confirmed(found: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The links (a, b) between doc_ids whose sets of shingles have a Jaccard similarity of ``similarity`` at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in T.chunks(batches, "text"):
+            clean, start, end, doc = T.shingles(texts, shingle)
+            h = T.xxh64(clean, start, end).view(np.int64)
+            at = np.searchsorted(doc, np.arange(len(texts) + 1))
+            sets = [np.unique(h[a:b]) for a, b in zip(at, at[1:])]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["node", "s"])
+
+    nodes = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
+    sets = written(texts.mapInArrow(run, "node long, s array<long>"))
+    left, right = (sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+    shared, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
+    like = F.least(F.size("sa"), F.size("sb")) >= similarity * F.greatest(F.size("sa"), F.size("sb"))
+    return found.join(left, "a").join(right, "b").where(like & (shared >= similarity * (total - shared))).select("a", "b").distinct()
+
+
+def groups(docs: DataFrame, shingle: int = 3, n: int = 1, distance: int = 3, segments: int = 2, block: int = BLOCK, similarity: float | None = None) -> DataFrame:
+    """(doc_id, f0, ..., component_id): component_id is the smallest doc_id that links can reach.
+
+    With ``similarity``, links between different fingerprints count only if the texts' sets of shingles
+    confirm it; then all rows need a doc_id.
+    """
     fs = [f"f{j}" for j in range(n)]
     prints = written(fingerprints(docs, shingle, n))
     # one node for each different fingerprint: its smallest doc_id. Rows without an id get a node of their own above all ids.
     distinct = prints.groupBy(*fs).agg(F.min("doc_id").alias("least"))
     nodes = written(distinct.select(*fs, "least", F.coalesce("least", F.lit(_NO_ID) + F.pmod(F.xxhash64(*fs), F.lit(1 << 40))).alias("node")))
     # two fingerprints of one doc_id share a node and so are linked
-    roots = components(links(nodes.select("node", *fs), n, distance, segments, block))
+    found = links(nodes.select("node", *fs), n, distance, segments, block)
+    if similarity is not None:
+        found = confirmed(written(found), docs, shingle, similarity)
+    roots = components(found)
     known = nodes.join(roots, "node", "left").select(*fs, F.coalesce("root", "node").alias("root"))
     return prints.join(known, fs, "left").select("doc_id", *fs, F.when(F.col("root") < _NO_ID, F.col("root")).alias("component_id"))
 
@@ -208,17 +250,19 @@ def groups(docs: DataFrame, shingle: int = 3, n: int = 1, distance: int = 3, seg
 _NO_ID = 1 << 62
 
 
-def deduplicate(docs: DataFrame, shingle: int = 5, n: int = 2, distance: int = 20, segments: int = 6) -> DataFrame:
+def deduplicate(docs: DataFrame, shingle: int = 5, n: int = 2, distance: int = 30, segments: int = 8, similarity: float = 0.8) -> DataFrame:
     """The documents of which one of each group stays, that with the smallest doc_id; all columns are kept.
 
-    By default 128 bits of five-word shingles within 20 bits, which is a similarity of the shingle sets
-    of about 0.8. Six segments of 21 bits meet for 0.93 of the pairs of similarity 0.9, 0.99 of those
-    of 0.95, and all exact copies. Rows that share a doc_id are one document: one of them stays. Rows
-    without a doc_id stay.
+    Links are between documents whose sets of five-word shingles have a Jaccard similarity of 0.8 at
+    least, which is verified. Candidates are 128 bits within 30, of which one of eight segments of 16
+    bits differs in one bit at most: by calculation 0.93 of the pairs of similarity 0.8, 0.98 of those of
+    0.85, nearly all of those above and all exact copies. Rows that share a doc_id are one document:
+    one of them stays. Rows without a doc_id stay and link nothing.
     """
-    found = groups(docs, shingle, n, distance, segments)
+    known = docs.where("doc_id is not null")
+    found = groups(known, shingle, n, distance, segments, similarity=similarity)
     keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi")
-    if not keep.isEmpty() and not found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
-        known = known.dropDuplicates(["doc_id"])
-    return known.select(*docs.columns).union(docs.where("doc_id is null"))
+    kept = known.join(keep, "doc_id", "left_semi")
+    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).union(docs.where("doc_id is null"))

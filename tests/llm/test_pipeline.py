@@ -25,8 +25,9 @@ def prints(t):
 
 
 def kept_by_brute_force(rows):
-    """Smallest ids of groups; pairs link if within 20 bits and one segment differs in at most one bit."""
+    """Smallest ids of groups; pairs link at a similarity of 0.8 if within 30 bits and one segment differs in at most one bit."""
     f = {d: prints(t) for d, t in rows}
+    sets = {d: shingles(t) for d, t in rows}
     root = {d: d for d in f}
 
     def find(x):
@@ -34,12 +35,13 @@ def kept_by_brute_force(rows):
             x = root[x]
         return x
 
-    segments = simhash._segments(128, 6)
+    segments = simhash._segments(128, 8)
     ids = sorted(f)
     for i, a in enumerate(ids):
         for b in ids[:i]:
             x = f[a] ^ f[b]
-            if x.bit_count() <= 20 and any((x >> at & (1 << w) - 1).bit_count() <= 1 for at, w in segments):
+            near = x.bit_count() <= 30 and any((x >> at & (1 << w) - 1).bit_count() <= 1 for at, w in segments)
+            if near and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 p, q = sorted((find(a), find(b)))
                 root[q] = p
     return {find(d) for d in ids}
