@@ -73,19 +73,23 @@ _tables: dict = {}
 
 def pack(values: np.ndarray, rows: np.ndarray, n_rows: int) -> pa.Array:
     """Ascending numbers of each row as a binary: differences, seven bits a byte. ``rows`` is sorted."""
-    first = np.ones(len(rows), bool)
-    first[1:] = rows[1:] != rows[:-1]
-    d = values.astype(np.int64)
-    d[1:] -= values[:-1] * ~first[1:]
-    size = 1 + sum((d >= 1 << 7 * i).astype(np.int64) for i in range(1, 5))
-    end = np.cumsum(size)
+    d = values.astype(np.uint32)
+    same = rows[1:] == rows[:-1]
+    d[1:][same] -= d[:-1][same].copy()
+    size = np.ones(len(d), np.uint8)
+    for i in range(1, 5):
+        size += d >= 1 << 7 * i
+    end = np.cumsum(size, dtype=np.int64)
     out = np.zeros(end[-1] if len(end) else 0, np.uint8)
+    start = end - size
     for i in range(5):
-        has = size > i
+        has = np.flatnonzero(size > i)
+        if not len(has):
+            break
         more = size[has] > i + 1
-        out[(end - size)[has] + i] = ((d[has] >> 7 * i) & 127) | (more << 7)
+        out[start[has] + i] = ((d[has] >> np.uint32(7 * i)) & np.uint32(127)).astype(np.uint8) | (more.astype(np.uint8) << 7)
     offsets = np.zeros(n_rows + 1, np.int64)
-    np.add.at(offsets, rows + 1, size)
+    offsets[1:] = np.bincount(rows, size, n_rows)
     return pa.Array.from_buffers(pa.large_binary(), n_rows, [None, pa.py_buffer(np.cumsum(offsets)), pa.py_buffer(out)])
 
 
@@ -151,6 +155,7 @@ def _blocks(limit: int, buckets: int):
                     yield block(base + number, held)
                     held, size, number = [], 0, number + 1
                 start = stop
+            batch = part = lists = None  # or else they stay until the next batch is read
         if held:
             yield block(base + number, held)
 
@@ -158,15 +163,18 @@ def _blocks(limit: int, buckets: int):
         ids = pa.concat_arrays([x[0] for x in held])
         counts = np.concatenate([x[1] for x in held]).astype(np.int64)
         coded = pa.concat_arrays([x[2] for x in held]).dictionary_encode()
+        held.clear()  # they keep whole batches alive
         words, ends = _bytes(coded.dictionary.cast(pa.large_binary()))
         n = len(ends) - 1
         bucket = (xxh64(words.tobytes(), ends[:-1], ends[1:]) % np.uint64(buckets)).astype(np.int64)
-        rank = np.empty(n, np.int64)
+        rank = np.empty(n, np.int32)
         by_bucket = np.argsort(bucket, kind="stable")
-        rank[by_bucket] = np.arange(n)
+        rank[by_bucket] = np.arange(n, dtype=np.int32)
         index = rank[coded.indices.to_numpy()]
-        order = np.argsort(index, kind="stable")
+        del coded
+        order = np.argsort(index, kind="stable").astype(np.uint32)
         places, place_ends = _bytes(pack(order, index[order], n))
+        del index, order
         texts = words.tobytes()
         known = np.asarray(ids.is_valid()).astype(np.uint8)
         about = np.asarray(ids.fill_null(0)).astype("<i8").tobytes() + counts.astype("<i8").tobytes() + known.tobytes()
