@@ -201,7 +201,7 @@ def links(prints: DataFrame, n: int = 1, distance: int = 3, segments: int = 2, b
         pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("key", "node", *(f"f{j}" for j in range(n)), F.least("own", "other").cast("long").alias("i"), F.greatest("own", "other").cast("long").alias("j"))
         run, schema = _link_sorted(n, distance, block, ["key", "i", "j"], False)
         more = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(run, schema)
-        found = found.union(more.select("a", "b"))
+        found = found.union(written(more.select("a", "b").distinct()))
     return found.distinct()
 
 
@@ -236,11 +236,11 @@ def groups(docs: DataFrame, shingle: int = 3, n: int = 1, distance: int = 3, seg
     prints = written(fingerprints(docs, shingle, n))
     # one node for each different fingerprint: its smallest doc_id. Rows without an id get a node of their own above all ids.
     distinct = prints.groupBy(*fs).agg(F.min("doc_id").alias("least"))
-    nodes = written(distinct.select(*fs, "least", F.coalesce("least", F.lit(_NO_ID) + F.pmod(F.xxhash64(*fs), F.lit(1 << 40))).alias("node")))
+    nodes = distinct.select(*fs, "least", F.coalesce("least", F.lit(_NO_ID) + F.pmod(F.xxhash64(*fs), F.lit(1 << 40))).alias("node"))
     # two fingerprints of one doc_id share a node and so are linked
     found = links(nodes.select("node", *fs), n, distance, segments, block)
     if similarity is not None:
-        found = confirmed(written(found), docs, shingle, similarity)
+        found = confirmed(found, docs, shingle, similarity)
     roots = components(found)
     known = nodes.join(roots, "node", "left").select(*fs, F.coalesce("root", "node").alias("root"))
     return prints.join(known, fs, "left").select("doc_id", *fs, F.when(F.col("root") < _NO_ID, F.col("root")).alias("component_id"))
