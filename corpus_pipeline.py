@@ -40,7 +40,7 @@ def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids): ids as little-endian unsigned 32-bit integers, decoded again."""
-    return bpe.digests(docs, bpe.Vocabulary(spark, public_tokenizers.path(bpe.RANKS)), keep_ids=True)
+    return bpe.digests(docs, bpe.Vocabulary(spark, public_tokenizers.path(bpe.RANKS)), keep_ids=True, block_chars=3_000_000)
 
 
 STAGES = [

@@ -286,9 +286,9 @@ def decode(coded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return coded.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "decoded binary"]))
 
 
-def digests(docs: DataFrame, vocabulary: Vocabulary, keep_ids: bool = False) -> DataFrame:
+def digests(docs: DataFrame, vocabulary: Vocabulary, keep_ids: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) after encoding and decoding every text, and the ids if asked for."""
-    coded = encode(docs, vocabulary)
+    coded = encode(docs, vocabulary, block_chars)
     kept = [F.col("ids").alias("coded")] if keep_ids else []
     counted = coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids", *kept)
     out = decode(counted, vocabulary)
