@@ -52,3 +52,11 @@ def test_families_of_a_template(spark, more):
     want = kept_by_all_pairs(rows)
     assert len(want) == 120
     assert kept(spark, rows, **more) == want
+
+
+def test_equal_fingerprints_of_different_texts(spark):
+    """A line that is repeated often gives its fingerprint to texts that are hardly alike: all of them stay."""
+    rows = [(i, " ".join(["one line of just seven plain words"] * 60 + [f"d{i}.{j}" for j in range(200)])) for i in range(10)]
+    copies = [(10 + i, t.upper()) for i, t in rows[:3]]
+    assert len({(r.f0, r.f1) for r in simhash.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), 5, 2).collect()}) < len(rows)
+    assert kept(spark, rows + copies) == kept_by_all_pairs(rows + copies) == set(range(10))
