@@ -50,7 +50,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Kinds and their patterns, in order of preference. The combined pattern tries them in this order at each place.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
-    "secret": r"(?<=(?:token|secret|password|passwd|api_key|apikey)(?: ?[=:] ?)[\"']?)[A-Za-z0-9_+/.=-]{8,}+|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}+|sk-[A-Za-z0-9]{20,}+|[0-9a-f]{32,}+)(?![A-Za-z0-9])",
+    "secret": r"(?<=(?i:token|secret|password|passwd|api_key|apikey)(?: ?[=:] ?)[\"']?)[A-Za-z0-9_+/.=-]{8,}+|(?<![A-Za-z0-9])(?i:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Z0-9]{20,}+|sk-[A-Z0-9]{20,}+|[0-9a-f]{32,}+)(?![A-Za-z0-9])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "card": r"(?<![\d+])\d(?:[ -]?\d){12,18}(?!\d)",
     "phone": r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\p{L}\p{N}(])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)",
@@ -60,7 +60,9 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text with an entity holds at least: texts without it are not searched.
-HINT = rf"[@0-9]|{_TITLE}|token|secret|passw|api_?key|sk-|gh[pousr]_|AKIA"
+HINT = rf"[@0-9]|{_TITLE}|(?i:token|secret|passw|api_?key|sk-|gh[pousr]_|AKIA|[a-f]{{32}})"
+
+_HEXADECIMAL = "^(?:[0-9a-f]+|[0-9A-F]+)$"
 
 
 def kind_of(mention: Column) -> Column:
@@ -70,9 +72,12 @@ def kind_of(mention: Column) -> Column:
 
 
 def canonical_of(kind: Column, mention: Column) -> Column:
-    """What all mentions of an entity have in common: letters and digits for numbers, lower case for the rest."""
+    """What all mentions of an entity have in common: letters and digits for numbers, lower case for the rest.
+
+    In secrets capitals tell, but not in hexadecimal ones that are all in capitals or all without.
+    """
     numbers = F.when(F.startswith(mention, F.lit("+")), "+").otherwise("")
-    return F.when(kind.isin("card", "phone", "ssn", "iban"), F.concat(numbers, F.regexp_replace(mention, "[^A-Za-z0-9]", ""))).when(kind.isin("email", "name"), F.lower(mention)).otherwise(mention)
+    return F.when(kind.isin("card", "phone", "ssn", "iban"), F.concat(numbers, F.regexp_replace(mention, "[^A-Za-z0-9]", ""))).when(kind.isin("email", "name") | (kind == "secret") & F.regexp_like(mention, F.lit(_HEXADECIMAL)), F.lower(mention)).otherwise(mention)
 
 
 def _digest(*parts: Column) -> Column:
@@ -102,7 +107,7 @@ def _like(text: Column, digest: Column, kept: Column, hexadecimal: Column) -> Co
 
     def one(i: Column) -> Column:
         c = F.substring(text, i + 1, F.lit(1))
-        low = F.when(hexadecimal & c.rlike("[a-f]"), _pick(digest, i, "abcdef")).otherwise(_pick(digest, i, _LETTERS))
+        low = F.when(hexadecimal & c.rlike("[a-fA-F]"), _pick(digest, i, "abcdef")).otherwise(_pick(digest, i, _LETTERS))
         return F.when(i < kept, c).when(c.rlike("[0-9]"), F.when((i == kept) & (c != "0"), _pick(digest, i, "123456789")).otherwise(_pick(digest, i, "0123456789"))).when(c.rlike(r"\p{Lu}"), F.upper(low)).when(c.rlike(r"\p{L}|\p{N}"), low).otherwise(c)
 
     return F.array_join(F.transform(F.sequence(F.lit(0), F.length(text) - 1), one), "")
@@ -173,7 +178,7 @@ def surrogate_of(kind: Column, canonical: Column, attempt: Column) -> Column:
 
     def made(digest: Column) -> Column:
         plus = F.startswith(canonical, F.lit("+"))
-        hexadecimal = (kind == "secret") & F.regexp_like(canonical, F.lit("^[0-9a-f]+$"))
+        hexadecimal = (kind == "secret") & F.regexp_like(canonical, F.lit("^[0-9a-fA-F]+$"))
         kept = F.when(kind == "card", 1).when(plus | (kind == "iban"), 2).otherwise(0)
         longer = F.when(attempt >= LONGER, F.substring(digest, F.lit(1), attempt - LONGER + 1)).otherwise("")
         tail = F.when(kind.isin("name", "secret"), longer).otherwise(F.translate(longer, "abcdef", "012345"))
@@ -202,7 +207,7 @@ def _shaped(kind: Column, mention: Column, made: Column) -> Column:
         return _let(F.regexp_replace(made, "[^A-Za-z0-9]", ""), laid)
 
     upper = F.when(F.regexp_like(mention, F.lit(r"^[^\p{Ll}]+$")), F.upper(made)).otherwise(made)
-    return F.when(kind.isin("card", "phone", "ssn", "iban"), numbers()).when(kind == "email", upper).when(kind == "name", F.when(F.regexp_like(mention, F.lit(r"^[^\p{Ll}]+$")), F.upper(made)).otherwise(F.initcap(made))).otherwise(made)
+    return F.when(kind.isin("card", "phone", "ssn", "iban"), numbers()).when((kind == "email") | (kind == "secret") & F.regexp_like(mention, F.lit(_HEXADECIMAL)), upper).when(kind == "name", F.when(F.regexp_like(mention, F.lit(r"^[^\p{Ll}]+$")), F.upper(made)).otherwise(F.initcap(made))).otherwise(made)
 
 
 def mentions(text: Column) -> Column:

@@ -80,3 +80,28 @@ def test_query(spark):
     assert n > 0
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pii.replace(empty).count() == 0
+
+
+def test_secrets_in_capitals(spark):
+    """Upper-cased copies of secrets go too; expected mentions are by a pattern of the test's own."""
+    key = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"
+    texts = [f'token = "{key}" here', f'TOKEN = "{key.upper()}" HERE', f"{key.upper()} alone", "PASSWORD=HUNTER2HUNTER2", "Api_Key: Abcdefgh12", "GHP_ABCDEFGHIJKLMNOPQRSTUV", f"mixed {key[:20]}{key[20:].upper()}", "DEADBEEF" * 4]
+    own = re.compile(r"[0-9a-f]{32,}|(?<=password=)\w+|(?<=api_key: )\w+|ghp_\w{20,}", re.I)
+    out = replaced(spark, texts)
+    shape = lambda s: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", s)))
+    for t, o in zip(texts, out):
+        (secret,) = own.findall(t)
+        assert secret.lower() not in o.lower()
+        assert shape(o) == shape(t)
+    a, b, c = (own.findall(o)[0] for o in out[:3])
+    assert a.upper() == b == c and re.fullmatch("[0-9a-f]{40}", a)
+
+
+def test_capitals_of_the_tables(spark):
+    """Documents of sf0.1 that hold secrets in capitals."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id in (2514, 8743)")
+    before = {r.doc_id: r.text for r in rows.collect()}
+    own = re.compile('(?<=TOKEN = ")[0-9A-F]{32,}(?=")')
+    for r in pii.replace(rows).collect():
+        found = own.findall(before[r.doc_id])
+        assert found and not any(s in r.text for s in found) and len(own.findall(r.text)) == len(found)
