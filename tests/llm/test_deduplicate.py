@@ -60,3 +60,18 @@ def test_equal_fingerprints_of_different_texts(spark):
     copies = [(10 + i, t.upper()) for i, t in rows[:3]]
     assert len({(r.f0, r.f1) for r in simhash.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), 5, 2).collect()}) < len(rows)
     assert kept(spark, rows + copies) == kept_by_all_pairs(rows + copies) == set(range(10))
+
+
+def test_all_pairs_of_similarity(spark):
+    """Pairs of a similarity just over 0.8, however far their fingerprints are, and all documents of sf0.01."""
+    rng, rows = random.Random(4), []
+    for i in range(150):
+        words = [f"p{i}.{j}" for j in range(300)]
+        twin = words[:]
+        at = rng.randrange(270)
+        twin[at : at + 28] = [f"q{i}.{j}" for j in range(28)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(twin))]
+    want = kept_by_all_pairs(rows)
+    assert len(want) == 150 and kept(spark, rows) == want
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id is not null")
+    assert {r.doc_id for r in simhash.deduplicate(docs).collect()} == kept_by_all_pairs([(r.doc_id, r.text) for r in docs.collect()])
