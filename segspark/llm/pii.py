@@ -46,6 +46,12 @@ GIVEN = {
 SYLLABLES = {"latin": "ba da fe go ha ke li mo na pe ri so ta ve wi zu".split(), "cyrillic": "ба да ве го жи ка ле мо на пе ри со та фе ху ци".split(), "greek": "βα γα δε ζο θι κα λε μο να πε ρι σο τα φε χυ ψι".split()}
 
 _TITLE = "|".join(t for g in TITLES.values() for t in sorted(g, key=len, reverse=True))
+# Particles of family names, which stay. Those of the second list are articles elsewhere: they count right after a form of address or another particle only.
+_PARTICLES = "van von de del della di da dos das du la le las los bin ibn af av ter ten".split()
+_ARTICLES = "der den dem".split()
+_PARTICLE = rf"(?:(?:{'|'.join(_PARTICLES)}) (?:(?:{'|'.join(_ARTICLES)}) )?)"
+#: One part of a name: initials, a word, or both without a space.
+_PART = r"(?:[dDlL]['’]|al-|el-)?(?:\p{Lu}\.-?)*(?:\p{Lu}[\p{L}'’-]+|\p{Lu}\.|\p{Lu}(?= \p{Lu}))"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Kinds and their patterns, in order of preference. The combined pattern tries them in this order at each place.
 PATTERNS = {
@@ -56,12 +62,13 @@ PATTERNS = {
     "phone": r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\p{L}\p{N}(])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
-    "name": rf"(?<![\p{{L}}])(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
+    "name": rf"(?<![\p{{L}}])(?:(?:{_TITLE})\.? )+(?:(?:{'|'.join(_ARTICLES)}) )?{_PARTICLE}*{_PART}(?: {_PARTICLE}*{_PART})*",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text with an entity holds at least: texts without it are not searched.
 HINT = rf"[@0-9]|{_TITLE}|(?i:token|secret|passw|api_?key|sk-|gh[pousr]_|AKIA|[a-f]{{32}})"
 
+_INITIALS = r"^\p{L}(?:\.-?\p{L})*\.?$"
 _HEXADECIMAL = "^(?:[0-9a-f]+|[0-9A-F]+)$"
 
 
@@ -140,15 +147,21 @@ def _gender(canonical: Column) -> Column:
 
 
 def _name(canonical: Column, attempt: Column) -> Column:
-    """The form of address, a given name if there was one, and a family name; each part has its own digest, so parts corefer too."""
-    title = F.regexp_extract(canonical, r"^[^ .]+\.? ", 0)
+    """The forms of address and particles, a given name or initials for each of the other words, and a family name for the last.
+
+    Each part has its own digest, so parts corefer too.
+    """
+    title = F.regexp_extract(canonical, rf"^(?:(?:{_TITLE.lower()})\.? )+", 0)
     rest = F.split(F.substring(canonical, F.length(title) + 1, F.length(canonical)), " ")
     script, gender = _script(F.element_at(rest, -1)), _gender(canonical)
 
-    def given(digest: Column) -> Column:
+    def given(digest: Column, part: Column) -> Column:
         lists = []
         for (s, g), names in GIVEN.items():
-            pick = F.element_at(F.array(*map(F.lit, names)), _draw(digest, F.lit(0), len(names)) + 1)
+            # the next one if the draw is the name itself
+            own = F.coalesce(F.array_position(F.array(*(F.lit(n.lower()) for n in names)), part), F.lit(0))
+            drawn = _draw(digest, F.lit(0), len(names))
+            pick = F.element_at(F.array(*map(F.lit, names)), (F.when(drawn + 1 == own, drawn + 1).otherwise(drawn) % len(names) + 1).cast("int"))
             either = (gender == "n") & (_draw(digest, F.lit(1), 2) == (0 if g == "m" else 1))
             lists.append(((script == s) & ((gender == g) | either), pick))
         return reduce(lambda c, t: c.when(*t), lists[1:], F.when(*lists[0]))
@@ -157,8 +170,16 @@ def _name(canonical: Column, attempt: Column) -> Column:
         made = [(s, F.concat(*(F.element_at(F.array(*map(F.lit, x)), _draw(digest, F.lit(i), len(x)) + 1) for i in range(4)))) for s, x in SYLLABLES.items()]
         return reduce(lambda c, t: c.when(script == t[0], t[1]), made[1:], F.when(script == made[0][0], made[0][1]))
 
-    first = _let(_digest(F.lit("given"), gender, F.element_at(rest, 1), attempt), given)
-    return F.lower(F.concat(title, F.when(F.size(rest) > 1, F.concat(first, F.lit(" "))).otherwise(""), _let(_digest(F.lit("family"), F.element_at(rest, -1), attempt), family)))
+    def initials(part: Column, digest: Column) -> Column:
+        alphabets = F.when(script == "cyrillic", _pick(digest, F.lit(0), "абвгдежзиклмнопрст")).when(script == "greek", _pick(digest, F.lit(0), "αβγδεζηθικλμνξοπρ")).otherwise(_pick(digest, F.lit(0), _LETTERS))
+        return F.regexp_replace(part, F.lit(r"\p{L}"), alphabets)
+
+    def before(part: Column) -> Column:
+        made = lambda d: F.when(F.regexp_like(part, F.lit(_INITIALS)), initials(part, d)).otherwise(given(d, part))
+        return F.when(part.isin(_PARTICLES + _ARTICLES), part).otherwise(_let(_digest(F.lit("given"), gender, part, attempt), made))
+
+    firsts = F.transform(F.slice(rest, F.lit(1), F.size(rest) - 1), before)
+    return F.lower(F.concat(title, F.array_join(F.concat(firsts, F.array(_let(_digest(F.lit("family"), F.element_at(rest, -1), attempt), family))), " ")))
 
 
 def surrogate_of(kind: Column, canonical: Column, attempt: Column) -> Column:
@@ -206,8 +227,12 @@ def _shaped(kind: Column, mention: Column, made: Column) -> Column:
 
         return _let(F.regexp_replace(made, "[^A-Za-z0-9]", ""), laid)
 
+    # a name has as many words as its surrogate: particles stay as they are
+    def word(old: Column, new: Column) -> Column:
+        return F.when(old.isin(_PARTICLES + _ARTICLES), old).when(F.regexp_like(old, F.lit(_INITIALS)) & F.regexp_like(new, F.lit(_INITIALS)), F.upper(new)).otherwise(F.initcap(new))
+
     upper = F.when(F.regexp_like(mention, F.lit(r"^[^\p{Ll}]+$")), F.upper(made)).otherwise(made)
-    return F.when(kind.isin("card", "phone", "ssn", "iban"), numbers()).when((kind == "email") | (kind == "secret") & F.regexp_like(mention, F.lit(_HEXADECIMAL)), upper).when(kind == "name", F.when(F.regexp_like(mention, F.lit(r"^[^\p{Ll}]+$")), F.upper(made)).otherwise(F.initcap(made))).otherwise(made)
+    return F.when(kind.isin("card", "phone", "ssn", "iban"), numbers()).when((kind == "email") | (kind == "secret") & F.regexp_like(mention, F.lit(_HEXADECIMAL)), upper).when(kind == "name", F.when(F.regexp_like(mention, F.lit(r"^[^\p{Ll}]+$")), F.upper(made)).otherwise(F.array_join(F.zip_with(F.split(mention, " "), F.split(made, " "), word), " "))).otherwise(made)
 
 
 def mentions(text: Column) -> Column:

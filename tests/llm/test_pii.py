@@ -105,3 +105,36 @@ def test_capitals_of_the_tables(spark):
     for r in pii.replace(rows).collect():
         found = own.findall(before[r.doc_id])
         assert found and not any(s in r.text for s in found) and len(own.findall(r.text)) == len(found)
+
+
+def test_whole_names(spark):
+    """Any number of words, initials, particles and forms of address; none of the name stays."""
+    cases = {
+        "Mrs Anna Maria Lopez": "Anna Maria Lopez",
+        "Mr John A. Smith": "John A. Smith",
+        "Dr. J. Smith": "J. Smith",
+        "Dr. J.R. Smith": "J.R. Smith",
+        "Dr. J.Smith": "J.Smith",
+        "Mr John A Smith": "John A Smith",
+        "Mr. Ludwig van der Berg": "Ludwig Berg",
+        "Señora María de la Cruz": "María Cruz",
+        "Mr. Charles d'Artagnan": "Charles d'Artagnan",
+        "Herr Dr. Karl Heinz Müller": "Karl Heinz Müller",
+        "Mr. den Hartog": "Hartog",
+        "Господин И. П. Петров": "Петров",
+        "Mr. Smith": "Smith",
+        "Mrs Anna Lopez": "Anna Lopez",
+    }
+    out = replaced(spark, [f"so {t} came in" for t in cases])
+    made = {}
+    for (t, gone), o in zip(cases.items(), out):
+        assert o.startswith("so " + t.split()[0]) and o.endswith(" came in")
+        made[t] = o[3:-8]
+        assert len(made[t].split()) == len(t.split()) and PYTHON.fullmatch(made[t])
+        for w in gone.split():
+            assert len(w) <= 2 or w not in made[t].split()
+    last = lambda t: made[t].split()[-1]
+    assert last("Mr John A. Smith") == last("Dr. J. Smith") == last("Mr. Smith")
+    assert last("Mrs Anna Maria Lopez") == last("Mrs Anna Lopez") and made["Mrs Anna Maria Lopez"].split()[1] == made["Mrs Anna Lopez"].split()[1]
+    assert " van der " in made["Mr. Ludwig van der Berg"] and made["Señora María de la Cruz"].split()[2:4] == ["de", "la"]
+    assert made["Mr John A. Smith"].split()[2].endswith(".") and made["Herr Dr. Karl Heinz Müller"].startswith("Herr Dr. ")
