@@ -29,6 +29,8 @@ from segspark.llm.shared import components, delete, written
 BLOCK = 2048
 #: Keys of up to so many rows are compared row by row at equal offsets, for all keys of a batch at once.
 SMALL = 64
+#: So many rows of a key are held against its others at once, in so many turns, before all that are not linked yet.
+CENTRES, TURNS = 8, 2
 #: Bits of the counters by which shingles are ranked: 4 MB, whatever the input. They decide on work only, not on results.
 COUNTERS = 20
 
@@ -295,10 +297,10 @@ def _met(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, rows.schema)
 
 
-def _candidates(rows: DataFrame, similarity: float, star: bool, block: int = BLOCK) -> DataFrame:
+def _candidates(rows: DataFrame, similarity: float, turn: int | None, block: int = BLOCK) -> DataFrame:
     """(a, b): nodes of (key, node, place, root) with a common key and different roots that can be so similar.
 
-    With ``star`` only those of each key's first row. Keys with over ``block`` rows are compared in pairs of blocks.
+    With a ``turn`` only those of each key's first CENTRES rows, which differ by turn. Keys with over ``block`` rows are compared in pairs of blocks.
     """
     by = ["key", "i", "j"]
 
@@ -313,10 +315,13 @@ def _candidates(rows: DataFrame, similarity: float, star: bool, block: int = BLO
             ok = (root[a] != root[b]) & (most >= similarity / (1 + similarity) * (n[a] + n[b]) - 1e-6)
             return np.sort(np.stack([node[a[ok]], node[b[ok]]], 1), axis=1)
 
-        if star:
-            yield fit(np.repeat(starts, sizes), np.arange(len(number)))
-            return
         end, rest = np.repeat(starts + sizes, sizes), np.arange(len(number))
+        if turn is not None:
+            for i in range(CENTRES):
+                centre = np.repeat(starts + i, sizes)
+                later = rest[rest > centre]
+                yield fit(centre[later], later)
+            return
         mixed = np.repeat(np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts), sizes)
         rest = rest[mixed]
         for step in range(1, int(sizes.max())):
@@ -359,7 +364,7 @@ def _candidates(rows: DataFrame, similarity: float, star: bool, block: int = BLO
     blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("k")).where("k > 1")
     placed = rows.join(blocks, "key", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("key", F.least("own", "other").cast("long").alias("i"), F.greatest("own", "other").cast("long").alias("j"), "node", "place", "root")
-    return dealt.repartition(*by).sortWithinPartitions(*by, "node").mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition(*by).sortWithinPartitions(*by, F.xxhash64("node", F.lit(turn or 0)), "node").mapInArrow(run, "a long, b long").distinct()
 
 
 def confirmed(found: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -404,7 +409,7 @@ def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bloc
     Links are all pairs of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 at
     least. Fingerprints play no part: documents of an equal set (by a 64-bit hash) are one node, and of the
     others all that share one of their rarest shingles, as many as that similarity takes, are candidates.
-    First each key's first node is held against its others, exactly; then all pairs that are not linked yet.
+    First some nodes of each key are held against its others, exactly; then all pairs that are not linked yet.
     Rows that share a doc_id are one document: one of them stays. Rows without a doc_id stay and link nothing.
     """
     known = docs.where("doc_id is not null")
@@ -418,13 +423,20 @@ def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bloc
     # the different sets of one doc_id
     several = rows.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last"), F.count("*").alias("n")).where("n > 1")
     one = rows.join(several.where("a <> last"), "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
-    tried = written(_candidates(met.withColumn("root", F.col("node")), similarity, True, block))
-    links = written(confirmed(tried, texts, nodes, shingle, similarity).union(one).distinct())
-    roots = components(links)
-    rooted = met.join(roots, "node", "left").select("key", "node", "place", F.coalesce("root", "node").alias("root"))
-    others = written(_candidates(rooted, similarity, False, block).join(tried, ["a", "b"], "left_anti"))
-    if not others.isEmpty():
-        roots = components(links.union(confirmed(others, texts, nodes, shingle, similarity)))
+    links, tried, roots = written(one), None, None
+    for turn in (*range(TURNS), None):
+        roots = components(links)
+        rooted = met.join(roots, "node", "left").select("key", "node", "place", F.coalesce("root", "node").alias("root"))
+        found = _candidates(rooted, similarity, turn, block)
+        found = written(found.join(tried, ["a", "b"], "left_anti") if tried else found)
+        if found.isEmpty():
+            if turn is None:
+                break
+            continue
+        tried = tried.union(found) if tried else found
+        links = links.union(written(confirmed(found, texts, nodes, shingle, similarity)))
+    else:
+        roots = components(links)
     keep = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("doc_id")).select("doc_id")
     kept = known.join(keep, "doc_id", "left_semi")
     if not several.isEmpty():
