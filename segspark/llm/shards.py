@@ -1,14 +1,14 @@
 """Token ids in training order, as shards of fixed-stride binary records.
 
-Every text is encoded into token ids and cut into sequences of STRIDE ids, the last one padded. The n
+Every text is taken as its bytes of UTF-8 and cut into sequences of STRIDE ids, the last one padded. The n
 sequences, numbered in the order of the table, get global slots 0 to n - 1 by a keyed Feistel
 permutation: a balanced network over the next even number of bits, walked until the slot is below n.
-Sequences are dealt to shards by ranges of slots and written in slot order, each record STRIDE ids
-wide, so that record k of a shard is at byte k * STRIDE * width, and a reader can stop and resume
+Sequences are dealt to shards by ranges of slots and written in slot order, each record STRIDE bytes
+wide, so that record k of a shard is at byte k * STRIDE, and a reader can stop and resume
 at any slot. A shard appears under its name when it is whole; one written again has the same bytes.
 
-A null or empty text has no sequences. Ids fit one byte (bytes of UTF-8 text, the tokens
-here; 0, which no text should hold, pads) or more (any encoder). Repeated or null doc_ids are sequences of their
+A null or empty text has no sequences. Ids are the bytes of the UTF-8 text, one byte
+wide; ids of a vocabulary are not taken. 0 pads, so records alone don't tell it from a NUL that ends a text. Repeated or null doc_ids are sequences of their
 own. The table must be one that reads the same again, as a stored one does. Extra columns are not read.
 """
 
