@@ -4,26 +4,47 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Only where it is unset, as in tests, a local one is set."""
+    """The folder that spark.checkpoint.dir names. Only where it is unset and all runs on one machine, as in tests, a local one is set."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise RuntimeError(f"spark.checkpoint.dir is unset: on {master} intermediate tables need a folder that all executors share.")
         where = f"file://{tempfile.mkdtemp(prefix='checkpoint')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+_scratch: ContextVar[list | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch():
+    """Tables that are written within are deleted at the end, but for those to keep."""
+    before = _scratch.set([])
+    try:
+        yield
+    finally:
+        delete(*_scratch.get())
+        _scratch.reset(before)
+
+
+def written(df: DataFrame, keep: bool = False) -> DataFrame:
     """The rows as a table in the shared folder: cuts the lineage, and is whole after the loss of executors."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._path = path
+    if not keep and _scratch.get() is not None:
+        _scratch.get().append(out)
     return out
 
 

@@ -13,26 +13,22 @@ fingerprint each; their component is that of both. Other columns, whatever their
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from segspark.llm import similarity as S
 from segspark.llm import text as T
-from segspark.llm.shared import components, delete, written
+from segspark.llm.shared import components, scratch, written
 
 #: Rows of one key that one task compares; larger groups are compared in pairs of blocks of that size.
 BLOCK = 2048
 #: Keys of up to so many rows are compared row by row at equal offsets, for all keys of a batch at once.
 SMALL = 64
-#: So many rows of a key are held against its others at once, in so many turns, before all that are not linked yet.
-CENTRES, TURNS = 8, 2
-#: Bits of the counters by which shingles are ranked: 4 MB, whatever the input. They decide on work only, not on results.
-COUNTERS = 20
 
 
 def _bits(h: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
@@ -211,234 +207,114 @@ def links(prints: DataFrame, n: int = 1, distance: int = 3, segments: int = 2, b
     return found.distinct()
 
 
-def _sets(texts: list[bytes], shingle: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The sorted hashes of each text's different shingles, and a 64-bit hash of each such set."""
-    clean, start, end, doc = T.shingles(texts, shingle)
-    h = T.xxh64(clean, start, end)
-    at = np.searchsorted(doc, np.arange(len(texts) + 1))
-    sets = [np.unique(h[a:b]) for a, b in zip(at, at[1:])]
-    return sets, np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-
-
-def _seen(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, node, null, null) of each text, node being its set's hash; then (null, null, block, counts) by task.
-
-    counts holds, by the first bits of a shingle's hash, how many texts have such a shingle; it is cut into blocks.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << COUNTERS, np.uint32)
-        for batch, texts in T.chunks(batches, "text"):
-            sets, ids = _sets(texts, shingle)
-            np.add.at(counts, (np.concatenate(sets) >> np.uint64(64 - COUNTERS)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.binary())], names)
-        if counts.any():
-            parts = [x.tobytes() for x in np.split(counts, 64)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(64, pa.int64()), pa.nulls(64, pa.int64()), pa.array(range(64), pa.int64()), pa.array(parts, pa.binary())], names)
-
-    names = ["doc_id", "node", "block", "counts"]
-    return docs.mapInArrow(run, "doc_id long, node long, block long, counts binary")
-
-
-def _summed(seen: DataFrame) -> np.ndarray:
-    """The counts of all tasks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts")):
-                part = np.frombuffer(counts.as_buffer(), np.uint32)
-                sums[block] = sums[block] + part if block in sums else part.copy()
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "counts"])
+def groups(docs: DataFrame, shingle: int = 3, n: int = 1, distance: int = 3, segments: int = 2, block: int = BLOCK) -> DataFrame:
+    """(doc_id, f0, ..., component_id): component_id is the smallest doc_id that links can reach."""
+    fs = [f"f{j}" for j in range(n)]
+    with scratch():
+        prints = written(fingerprints(docs, shingle, n))
+        # one node for each different fingerprint: its smallest doc_id. Rows without an id get a node of their own above all ids.
+        distinct = prints.groupBy(*fs).agg(F.min("doc_id").alias("least"))
+        nodes = written(distinct.select(*fs, F.coalesce("least", F.lit(_NO_ID) + F.pmod(F.xxhash64(*fs), F.lit(1 << 60))).alias("node")))
+        found = links(nodes.select("node", *fs), n, distance, segments, block)
+        # both sides are stored tables, so that a fingerprint with very many copies is split over tasks
+        rows = written(prints.join(nodes, fs))
+        # the fingerprints of one doc_id are linked
+        own = written(rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last"))
+        shared_id = rows.join(own, "doc_id").select("a", F.col("node").alias("b")).where("a <> b").distinct()
+        roots = components(found.union(shared_id))
+        known = rows.join(roots, "node", "left").select("doc_id", *fs, F.coalesce("root", "node").alias("root"))
+        return written(known.select("doc_id", *fs, F.when(F.col("root") < _NO_ID, F.col("root")).alias("component_id")), keep=True)
 
-    rows = seen.where("block is not null").select("block", "counts").repartition("block").mapInArrow(run, "block long, counts binary").collect()
-    return np.concatenate([np.frombuffer(r.counts, np.uint32) for r in sorted(rows)]) if rows else np.zeros(1 << COUNTERS, np.uint32)
 
+#: Nodes of rows without a doc_id start here; doc_ids are smaller.
+_NO_ID = 1 << 62
 
-def _prefixes(docs: DataFrame, shingle: int, similarity: float, counts) -> DataFrame:
-    """(key, node, place): of each text's n different shingles the rarest n - similarity * n + 1; place is n and the rank.
 
-    Two sets of that similarity share one of those, whatever the order that ranks the shingles of all texts is.
-    """
+def _seen(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, node, f0) of each text, node being the name of its set of shingles; then (block, counts) of a task's counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << S.COUNTERS, np.uint32)
         for batch, texts in T.chunks(batches, "text"):
-            sets, ids = _sets(texts, shingle)
-            keys, places = [], []
-            for s in sets:
-                n = len(s)
-                most = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
-                keys.append(s[np.lexsort((s, counts.value[(s >> np.uint64(64 - COUNTERS)).astype(np.int64)]))[:most]])
-                places.append((n << 32) + np.arange(most))
-            nodes = np.repeat(ids, [len(k) for k in keys])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(nodes), pa.array(np.concatenate(places))], ["key", "node", "place"])
-
-    return docs.mapInArrow(run, "key long, node long, place long")
-
+            clean, start, end, doc = T.shingles(texts, shingle)
+            h = T.xxh64(clean, start, end)
+            at = np.searchsorted(doc, np.arange(len(texts) + 1))
+            sets = [np.unique(h[a:b]) for a, b in zip(at, at[1:])]
+            S.count_into(counts, sets)
+            none = pa.nulls(len(texts), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(S.names_of(sets)), pa.array(_bits(h, doc, len(texts)).view(np.int64)), none, pa.nulls(len(texts), pa.binary())], names)
+        if counts.any():
+            block, parts = S.counter_rows(counts)
+            none = pa.nulls(len(block), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, block, parts], names)
 
-def _met(rows: DataFrame) -> DataFrame:
-    """The rows of keys with several rows."""
+    names = ["doc_id", "node", "f0", "block", "counts"]
+    return docs.mapInArrow(run, "doc_id long, node long, f0 long, block long, counts binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, known = [], False  # the last row so far, and whether one before has its key
-        for batch in batches:
-            t = pa.Table.from_batches([*held, batch]).combine_chunks()
-            if not t.num_rows:
-                continue
-            key = t.column("key").to_numpy()
-            same = key[1:] == key[:-1]
-            keep = np.concatenate([[known], same]) | np.concatenate([same, [False]])
-            yield from t.slice(0, len(key) - 1).filter(pa.array(keep[:-1])).to_batches()
-            held, known = t.slice(len(key) - 1).to_batches(), bool(keep[-1])
-        if known:
-            yield from held
-
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, rows.schema)
 
+def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 3, segments: int = 2, block: int = BLOCK) -> DataFrame:
+    """The documents of which one of each group stays, that with the smallest doc_id; all columns are kept.
 
-def _candidates(rows: DataFrame, similarity: float, turn: int | None, block: int = BLOCK) -> DataFrame:
-    """(a, b): nodes of (key, node, place, root) with a common key and different roots that can be so similar.
+    Links are all pairs of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 at
+    least; documents of an equal set are one node. Fingerprints within ``distance`` bits, found by deletion variants,
+    come first: their links are reduced to stars and verified. They hold the closest copies only (at a similarity of 0.8 nine to ten of
+    64 bits differ), so an exact search for all other pairs follows, of those that no verified link connects yet.
 
-    With a ``turn`` only those of each key's first CENTRES rows, which differ by turn. Keys with over ``block`` rows are compared in pairs of blocks.
+    Rows are documents: rows that share a doc_id but not a set are judged apart. Of equal rows one stays, of rows with
+    one doc_id and set that which is smallest as JSON. Rows without a doc_id stay and link nothing.
     """
-    by = ["key", "i", "j"]
-
-    def pairs(number: np.ndarray, node: np.ndarray, place: np.ndarray, root: np.ndarray) -> Iterator[np.ndarray]:
-        starts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
-        sizes = np.diff([*starts, len(number)])
-        n, rank = place >> 32, place & 0xFFFFFFFF
-
-        def fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            # at their first common shingle, sets share that one and what follows it in both at most
-            most = np.minimum(n[a] - rank[a], n[b] - rank[b])
-            ok = (root[a] != root[b]) & (most >= similarity / (1 + similarity) * (n[a] + n[b]) - 1e-6)
-            return np.sort(np.stack([node[a[ok]], node[b[ok]]], 1), axis=1)
-
-        end, rest = np.repeat(starts + sizes, sizes), np.arange(len(number))
-        if turn is not None:
-            for i in range(CENTRES):
-                centre = np.repeat(starts + i, sizes)
-                later = rest[rest > centre]
-                yield fit(centre[later], later)
-            return
-        mixed = np.repeat(np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts), sizes)
-        rest = rest[mixed]
-        for step in range(1, int(sizes.max())):
-            rest = rest[rest + step < end[rest]]
-            if not len(rest):
-                return
-            yield fit(rest, rest + step)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(t: pa.Table, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-            number = np.cumsum(np.concatenate([[0], (keys[1:] != keys[:-1]).any(1)]))
-            found, size = [], 0
-            for p in pairs(number, *(t.column(c).to_numpy() for c in ("node", "place", "root"))):
-                found.append(p)
-                size += len(p)
-                if size > 1 << 17:
-                    yield batch_of(found)
-                    found, size = [], 0
-            if size:
-                yield batch_of(found)
-
-        def batch_of(found: list[np.ndarray]) -> pa.RecordBatch:
-            p = np.unique(np.concatenate(found), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
-
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            t = pa.Table.from_batches([*held, batch]).combine_chunks()
-            if not t.num_rows:
-                continue
-            keys = np.stack([t.column(c).to_numpy() for c in by], 1)
-            cut = _last_start(keys)
-            if cut:
-                yield from emit(t.slice(0, cut), keys[:cut])
-            held = t.slice(cut).to_batches()
-        if held:
-            t = pa.Table.from_batches(held).combine_chunks()
-            yield from emit(t, np.stack([t.column(c).to_numpy() for c in by], 1))
-
-    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("k")).where("k > 1")
-    placed = rows.join(blocks, "key", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("key", F.least("own", "other").cast("long").alias("i"), F.greatest("own", "other").cast("long").alias("j"), "node", "place", "root")
-    return dealt.repartition(*by).sortWithinPartitions(*by, F.xxhash64("node", F.lit(turn or 0)), "node").mapInArrow(run, "a long, b long").distinct()
-
-
-def confirmed(found: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The links (a, b) between nodes whose sets of shingles have a Jaccard similarity of ``similarity`` at least."""
+    with scratch():
+        known = docs.where("doc_id is not null")
+        texts = known.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        seen = written(_seen(texts, shingle))
+        rows = seen.where("block is null").select("doc_id", "node", "f0")
+        nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("f0").alias("f0")))
+        counts = docs.sparkSession.sparkContext.broadcast(S.summed(seen.where("block is not null").select("block", "counts")))
+
+        def verified(pairs: DataFrame) -> DataFrame:
+            ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            sets = written(S.sets_at(texts, nodes.join(ends, "node", "left_semi"), shingle))
+            return written(S.confirmed(pairs, sets, similarity))
+
+        # equal and near fingerprints: each node with the smallest of those that links reach
+        prints = written(nodes.groupBy("f0").agg(F.min("node").alias("node")))
+        equal = nodes.select("node", "f0").join(prints.select("f0", F.col("node").alias("a")), "f0").where("node <> a").select("a", F.col("node").alias("b"))
+        stars = components(links(prints, 1, distance, segments, block)).where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+        found = verified(written(equal.union(stars)))
+        # all other pairs: first some rows of each key against the others, then all that no link connects
+        first_texts = texts.join(nodes.select("doc_id").distinct(), "doc_id", "left_semi")
+        met = written(S.met(S.prefixes(first_texts, shingle, similarity, counts)))
+        tried = written(S.candidates(S.rooted(met, components(found)), similarity, True).select("a", "b").distinct())
+        found = found.union(verified(tried))
+        rest = written(S.candidates(S.rooted(met, components(found)), similarity, False))
+        pairs = written(rest.where("kind = 0").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+        found = found.union(verified(pairs))
+        dense = rest.where("kind = 1")
+        if not dense.isEmpty():
+            sets = written(S.sets_at(texts, nodes.join(dense.select(F.col("a").alias("node")).distinct(), "node", "left_semi"), shingle))
+            found = found.union(written(S.linked_blocks(dense, sets, similarity)))
+        roots = components(found)
+        first = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min(F.struct("doc_id", "node")).alias("first"))
+        keep = written(first.select("first.*"), keep=True)
+        several = written(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), keep=True)
+        counts.unpersist()
+    return _kept(docs, known, several, keep, shingle)
+
+
+def _kept(docs: DataFrame, known: DataFrame, several: DataFrame, keep: DataFrame, shingle: int) -> DataFrame:
+    """The rows of the documents that ``keep`` (doc_id, node) names, and those without a doc_id; ``several`` has the repeated ids."""
+    none = docs.where("doc_id is null")
+    if several.isEmpty():
+        return known.join(keep.select("doc_id"), "doc_id", "left_semi").select(*docs.columns).union(none)
+    single = known.join(keep.join(several, "doc_id", "left_anti").select("doc_id"), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in T.chunks(batches, "text"):
-            sets, ids = _sets(texts, shingle)
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["node", "s"])
-
-    ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = nodes.join(ends, "node", "left_semi").select(F.col("least").alias("doc_id")).distinct()
-    sets = written(docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "node long, s array<long>"))
-    left, right = (sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
-    shared, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
-    like = F.least(F.size("sa"), F.size("sb")) >= similarity * F.greatest(F.size("sa"), F.size("sb"))
-    return found.join(left, "a").join(right, "b").where(like & (shared >= similarity * (total - shared))).select("a", "b").distinct()
-
-
-def groups(docs: DataFrame, shingle: int = 3, n: int = 1, distance: int = 3, segments: int = 2, block: int = BLOCK) -> DataFrame:
-    """(doc_id, f0, ..., component_id): component_id is the smallest doc_id that links can reach."""
-    fs = [f"f{j}" for j in range(n)]
-    prints = written(fingerprints(docs, shingle, n))
-    # one node for each different fingerprint: its smallest doc_id. Rows without an id get a node of their own above all ids.
-    distinct = prints.groupBy(*fs).agg(F.min("doc_id").alias("least"))
-    nodes = distinct.select(*fs, "least", F.coalesce("least", F.lit(_NO_ID) + F.pmod(F.xxhash64(*fs), F.lit(1 << 40))).alias("node"))
-    # two fingerprints of one doc_id share a node and so are linked
-    found = links(nodes.select("node", *fs), n, distance, segments, block)
-    roots = components(found)
-    known = nodes.join(roots, "node", "left").select(*fs, F.coalesce("root", "node").alias("root"))
-    return prints.join(known, fs, "left").select("doc_id", *fs, F.when(F.col("root") < _NO_ID, F.col("root")).alias("component_id"))
-
-
-#: Nodes of rows without a doc_id start here; doc_ids are smaller.
-_NO_ID = 1 << 62
-
-
-def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
-    """The documents of which one of each group stays, that with the smallest doc_id; all columns are kept.
-
-    Links are all pairs of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 at
-    least. Fingerprints play no part: documents of an equal set (by a 64-bit hash) are one node, and of the
-    others all that share one of their rarest shingles, as many as that similarity takes, are candidates.
-    First some nodes of each key are held against its others, exactly; then all pairs that are not linked yet.
-    Rows that share a doc_id are one document: one of them stays. Rows without a doc_id stay and link nothing.
-    """
-    known = docs.where("doc_id is not null")
-    texts = known.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = written(_seen(texts, shingle))
-    rows = seen.where("block is null").select("doc_id", "node")
-    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("least")))
-    counts = docs.sparkSession.sparkContext.broadcast(_summed(seen))
-    first_texts = texts.join(nodes.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    met = written(_met(_prefixes(first_texts, shingle, similarity, counts)))
-    # the different sets of one doc_id
-    several = rows.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last"), F.count("*").alias("n")).where("n > 1")
-    one = rows.join(several.where("a <> last"), "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
-    links, tried, roots = written(one), None, None
-    for turn in (*range(TURNS), None):
-        roots = components(links)
-        rooted = met.join(roots, "node", "left").select("key", "node", "place", F.coalesce("root", "node").alias("root"))
-        found = _candidates(rooted, similarity, turn, block)
-        found = written(found.join(tried, ["a", "b"], "left_anti") if tried else found)
-        if found.isEmpty():
-            if turn is None:
-                break
-            continue
-        tried = tried.union(found) if tried else found
-        links = links.union(written(confirmed(found, texts, nodes, shingle, similarity)))
-    else:
-        roots = components(links)
-    keep = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("doc_id")).select("doc_id")
-    kept = known.join(keep, "doc_id", "left_semi")
-    if not several.isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(S.sets_of(texts, shingle)[1])], names)
+
+    whole = known.join(several, "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("id"), "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"))
+    names = ["id", "text", "whole", "node"]
+    fields = StructType([*whole.schema.fields, StructField("node", LongType())])
+    named = whole.mapInArrow(run, fields).join(keep.withColumnRenamed("doc_id", "id"), ["id", "node"], "left_semi")
+    one = named.groupBy("id", "node").agg(F.min_by("whole", F.to_json("whole")).alias("whole"))
+    return single.select(*docs.columns).union(one.select("whole.*")).union(none)

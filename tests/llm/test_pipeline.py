@@ -6,47 +6,14 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 from test_contamination import shingles
+from test_deduplicate import kept_by_all_pairs
 from test_pii import PYTHON
 
-from segspark.llm import bpe, quality, simhash, text
+from segspark.llm import bpe, quality
 
 SF = "/root/testdata/sf0.001"
 
 
-def prints(t):
-    """128 bits, by a plain loop."""
-    clean, start, end, _ = text.shingles([(t or "").encode()], 5)
-    h = text.xxh64(clean, start, end)
-    out = 0
-    for j in range(2):
-        hs = (text.mix64(h, j) if j else h).tolist()
-        out |= sum(1 << b for b in range(64) if sum(x >> b & 1 for x in hs) * 2 > len(hs)) << 64 * j
-    return out
-
-
-def kept_by_brute_force(rows):
-    """Smallest ids of groups; pairs link at a similarity of 0.8 if within 30 bits and one segment differs in at most one bit."""
-    f = {d: prints(t) for d, t in rows}
-    sets = {d: shingles(t) for d, t in rows}
-    root = {d: d for d in f}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    segments = simhash._segments(128, 8)
-    ids = sorted(f)
-    for i, a in enumerate(ids):
-        for b in ids[:i]:
-            x = f[a] ^ f[b]
-            near = x.bit_count() <= 30 and any((x >> at & (1 << w) - 1).bit_count() <= 1 for at, w in segments)
-            if near and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                p, q = sorted((find(a), find(b)))
-                root[q] = p
-    return {find(d) for d in ids}
-
-
 def test_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, tables = docs.columns, [docs]
@@ -58,7 +25,7 @@ def test_stages(spark, tmp_path):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     good = {r.doc_id for r in quality.score(docs, labels).collect() if r.score >= 0.5}
     assert rows[1] == {d: r for d, r in rows[0].items() if d in good} and 0 < len(rows[1]) < len(rows[0])
-    assert set(rows[2]) == kept_by_brute_force([(d, r.text) for d, r in rows[1].items()]) and len(rows[2]) < len(rows[1])
+    assert set(rows[2]) == kept_by_all_pairs([(d, r.text) for d, r in rows[1].items()]) and len(rows[2]) < len(rows[1])
     items = [s for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if (s := shingles(r.text))]
     clean = {d for d, r in rows[2].items() if not any(len(s & shingles(r.text)) >= 0.8 * len(s) for s in items)}
     assert set(rows[3]) == clean and len(clean) < len(rows[2])

@@ -89,6 +89,13 @@ def test_large_keys_in_blocks(spark):
     assert got == brute(rows)
 
 
+def test_repeated_ids_connect(spark):
+    """Fingerprints of one doc_id are linked, whichever of them has the smaller ids."""
+    rows = [(3, "t t t t"), (5, "t t t t"), (5, "u u u u"), (8, "u u u u"), (9, "v v v v"), (9, "w w w w")]
+    got = sorted((r.doc_id, r.component_id) for r in simhash.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 3), (5, 3), (5, 3), (8, 3), (9, 9), (9, 9)]
+
+
 def test_null_id_and_empty_table(spark):
     df = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (None, "q r s t"), (None, None)], "doc_id long, text string")
     got = {(r.doc_id, r.component_id) for r in simhash.groups(df).collect()}
