@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segspark.llm import text as T
+from segspark.llm.shared import tidy
 
 SHINGLE, SHARE = 5, 0.8
 #: Hash functions. A stretch with SHARE of an item has a similarity of 0.19 at least with its window: 1.4e-6 of them are missed.
@@ -146,7 +147,7 @@ def matches(docs: DataFrame, items: DataFrame, size: int = SHINGLE, share: float
                     d, *rest = zip(*found)
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(d)), *(pa.array(x, pa.int64()) for x in rest)], ["doc_id", "item_id", "n_shared", "n_shingles"])
 
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, n_shared long, n_shingles long")
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, item_id long, n_shared long, n_shingles long")
 
     return reduce(DataFrame.union, map(one, _blocks(items, block_bytes)))
 
@@ -163,6 +164,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = SHINGLE, share:
                 keep[[d for d, *_ in search.of(texts)]] = False
                 yield batch.filter(pa.array(keep))
 
-        return rest.mapInArrow(run, rest.schema)
+        return rest.mapInArrow(tidy(run), rest.schema)
 
     return reduce(one, _blocks(items, block_bytes), docs)

@@ -22,6 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from segspark.llm.shared import tidy
 from segspark.llm.text import chunks, xxh64
 
 BUCKETS, SHAPES, DIMS = 4096, 64, 32
@@ -90,7 +91,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Vectors of all buckets from all documents, of unit length; buckets that never occur have zero."""
     schema = "bucket int, sums binary"
-    found = docs.select("text").mapInArrow(_contexts, schema).repartition("bucket").mapInArrow(_add, schema).toArrow()
+    found = docs.select("text").mapInArrow(tidy(_contexts), schema).repartition("bucket").mapInArrow(_add, schema).toArrow()
     out = np.zeros((BUCKETS, DIMS))
     for i, s in zip(found.column("bucket").to_pylist(), found.column("sums").to_pylist()):
         out[i] = np.frombuffer(s, "<i8")
@@ -199,4 +200,4 @@ def score(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataF
             s = network.value.scores(pooled(texts, vectors.value))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names[:-1]), pa.array(s)], names)
 
-    return docs.select(*(f"`{f.name}`" for f in fields)).mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double"]))
+    return docs.select(*(f"`{f.name}`" for f in fields)).mapInArrow(tidy(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double"]))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from contextlib import contextmanager
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 from contextvars import ContextVar
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,20 +59,78 @@ def delete(*tables: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def trim() -> None:
+    """Gives the memory that a Python worker has freed back to the machine: idle workers stay for other stages."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run):
+    """The same function for mapInArrow, with trim() at its end."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return tidied
+
+
+#: Edges that a task contracts at once: bounds its memory.
+EDGES = 1 << 20
+
+
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) that connect the same nodes: stars around the smallest of those that EDGES edges of a task connect."""
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        nodes, ends = np.unique(np.concatenate([t.column("a").to_numpy(), t.column("b").to_numpy()]), return_inverse=True)
+        a, b = ends[: t.num_rows], ends[t.num_rows :]
+        root = np.arange(len(nodes))
+        while True:
+            # each end's root takes the smaller of both roots, then all point to their root's root
+            low = np.minimum(root[a], root[b])
+            new = root.copy()
+            np.minimum.at(new, root[a], low)
+            np.minimum.at(new, root[b], low)
+            while (new != new[new]).any():
+                new = new[new]
+            new = new[root]
+            if (new == root).all():
+                break
+            root = new
+        leaf = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[leaf]), pa.array(nodes[root[leaf]])], ["a", "b"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= EDGES:
+            yield stars(held)
+            held, n = [], 0
+    if n:
+        yield stars(held)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the smallest node that can be reached.
 
-    Large-star and small-star rounds: each keeps the number of edges within bounds and ends after
-    a number of rounds that grows with the logarithm of the longest path. All joins have AQE's skew handling.
+    Tasks first contract what they hold. Then large-star and small-star rounds: each keeps the number of edges within bounds
+    and ends after a number of rounds that grows with the logarithm of the longest path. All joins have AQE's skew handling.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    both = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now = written(both.mapInArrow(tidy(contracted), "a long, b long"))
     while not _stars(now):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        new = written(small)
+        new = written(small.mapInArrow(tidy(contracted), "a long, b long"))
         delete(now)
         now = new
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

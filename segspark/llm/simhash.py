@@ -23,7 +23,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from segspark.llm import similarity as S
 from segspark.llm import text as T
-from segspark.llm.shared import components, scratch, written
+from segspark.llm.shared import components, scratch, tidy, written
 
 #: Rows of one key that one task compares; larger groups are compared in pairs of blocks of that size.
 BLOCK = 2048
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, n: int = 1) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x.view(np.int64)) for x in f)], names)
 
     names = ["doc_id", *(f"f{j}" for j in range(n))]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), ", ".join(f"{x} long" for x in names))
 
 
 def _segments(bits: int, count: int) -> list[tuple[int, int]]:
@@ -193,7 +193,7 @@ def links(prints: DataFrame, n: int = 1, distance: int = 3, segments: int = 2, b
     """
     rows = variants(prints, n, segments)
     run, schema = _link_sorted(n, distance, block, ["key"], True)
-    first = written(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, schema))
+    first = written(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(tidy(run), schema))
     found = first.where("kind = 0").select("a", "b")
     large = first.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), *(f"f{j}" for j in range(n)))
     if not large.isEmpty():
@@ -202,7 +202,7 @@ def links(prints: DataFrame, n: int = 1, distance: int = 3, segments: int = 2, b
         placed = large.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
         pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("key", "node", *(f"f{j}" for j in range(n)), F.least("own", "other").cast("long").alias("i"), F.greatest("own", "other").cast("long").alias("j"))
         run, schema = _link_sorted(n, distance, block, ["key", "i", "j"], False)
-        more = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(run, schema)
+        more = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(tidy(run), schema)
         found = found.union(written(more.select("a", "b").distinct()))
     return found.distinct()
 
@@ -249,7 +249,7 @@ def _seen(docs: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([none, none, none, block, parts], names)
 
     names = ["doc_id", "node", "f0", "block", "counts"]
-    return docs.mapInArrow(run, "doc_id long, node long, f0 long, block long, counts binary")
+    return docs.mapInArrow(tidy(run), "doc_id long, node long, f0 long, block long, counts binary")
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 3, segments: int = 2, block: int = BLOCK) -> DataFrame:
@@ -257,8 +257,8 @@ def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, dist
 
     Links are all pairs of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 at
     least; documents of an equal set are one node. Fingerprints within ``distance`` bits, found by deletion variants,
-    come first: their links are reduced to stars and verified. They hold the closest copies only (at a similarity of 0.8 nine to ten of
-    64 bits differ), so an exact search for all other pairs follows, of those that no verified link connects yet.
+    come first: their links are reduced to stars before they are verified. They hold the closest copies only (at a similarity of 0.8 nine to ten of
+    64 bits differ), so an exact search for the other pairs follows.
 
     Rows are documents: rows that share a doc_id but not a set are judged apart. Of equal rows one stays, of rows with
     one doc_id and set that which is smallest as JSON. Rows without a doc_id stay and link nothing.
@@ -271,28 +271,24 @@ def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, dist
         nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("f0").alias("f0")))
         counts = docs.sparkSession.sparkContext.broadcast(S.summed(seen.where("block is not null").select("block", "counts")))
 
-        def verified(pairs: DataFrame) -> DataFrame:
-            ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            sets = written(S.sets_at(texts, nodes.join(ends, "node", "left_semi"), shingle))
-            return written(S.confirmed(pairs, sets, similarity))
+        def sets(ends: DataFrame) -> DataFrame:
+            return written(S.sets_at(texts, nodes.join(ends.distinct(), "node", "left_semi"), shingle))
 
         # equal and near fingerprints: each node with the smallest of those that links reach
         prints = written(nodes.groupBy("f0").agg(F.min("node").alias("node")))
         equal = nodes.select("node", "f0").join(prints.select("f0", F.col("node").alias("a")), "f0").where("node <> a").select("a", F.col("node").alias("b"))
         stars = components(links(prints, 1, distance, segments, block)).where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
-        found = verified(written(equal.union(stars)))
-        # all other pairs: first some rows of each key against the others, then all that no link connects
+        # all other pairs: first some rows of each key against the others, then all that no verified link connects
         first_texts = texts.join(nodes.select("doc_id").distinct(), "doc_id", "left_semi")
         met = written(S.met(S.prefixes(first_texts, shingle, similarity, counts)))
-        tried = written(S.candidates(S.rooted(met, components(found)), similarity, True).select("a", "b").distinct())
-        found = found.union(verified(tried))
+        centres = S.candidates(S.rooted(met), similarity, True).select("a", "b")
+        tried = written(equal.union(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(centres).distinct())
+        found = written(S.confirmed(tried, sets(tried.select(F.explode(F.array("a", "b")).alias("node"))), similarity))
         rest = written(S.candidates(S.rooted(met, components(found)), similarity, False))
         pairs = written(rest.where("kind = 0").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        found = found.union(verified(pairs))
         dense = rest.where("kind = 1")
-        if not dense.isEmpty():
-            sets = written(S.sets_at(texts, nodes.join(dense.select(F.col("a").alias("node")).distinct(), "node", "left_semi"), shingle))
-            found = found.union(written(S.linked_blocks(dense, sets, similarity)))
+        held = sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(dense.select(F.col("a").alias("node"))))
+        found = found.union(S.confirmed(pairs, held, similarity)).union(S.linked_blocks(dense, held, similarity))
         roots = components(found)
         first = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min(F.struct("doc_id", "node")).alias("first"))
         keep = written(first.select("first.*"), keep=True)
@@ -315,6 +311,6 @@ def _kept(docs: DataFrame, known: DataFrame, several: DataFrame, keep: DataFrame
     whole = known.join(several, "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("id"), "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"))
     names = ["id", "text", "whole", "node"]
     fields = StructType([*whole.schema.fields, StructField("node", LongType())])
-    named = whole.mapInArrow(run, fields).join(keep.withColumnRenamed("doc_id", "id"), ["id", "node"], "left_semi")
+    named = whole.mapInArrow(tidy(run), fields).join(keep.withColumnRenamed("doc_id", "id"), ["id", "node"], "left_semi")
     one = named.groupBy("id", "node").agg(F.min_by("whole", F.to_json("whole")).alias("whole"))
     return single.select(*docs.columns).union(one.select("whole.*")).union(none)

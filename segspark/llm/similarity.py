@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segspark.llm import text as T
-from segspark.llm.shared import written
+from segspark.llm.shared import tidy, written
 
 #: Rows, and shingles of their sets, of one key that make a block: bounds what a task holds of a key.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
@@ -79,7 +79,7 @@ def summed(counted: DataFrame) -> np.ndarray:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "counts"])
 
-    rows = counted.repartition("block").mapInArrow(run, "block long, counts binary").collect()
+    rows = counted.repartition("block").mapInArrow(tidy(run), "block long, counts binary").collect()
     return np.concatenate([np.frombuffer(r.counts, np.uint32) for r in sorted(rows)]) if rows else np.zeros(1 << COUNTERS, np.uint32)
 
 
@@ -106,7 +106,7 @@ def prefixes(docs: DataFrame, shingle: int, similarity: float, counts) -> DataFr
                 nodes.append(np.full(most, ids[i]))
             yield pa.RecordBatch.from_arrays([pa.array(_concat(keys, np.uint64).view(np.int64)), pa.array(_concat(salts, np.int32)), pa.array(_concat(nodes, np.int64)), pa.array(_concat(places, np.int64))], ["key", "salt", "node", "place"])
 
-    return docs.mapInArrow(run, "key long, salt int, node long, place long")
+    return docs.mapInArrow(tidy(run), "key long, salt int, node long, place long")
 
 
 def met(rows: DataFrame) -> DataFrame:
@@ -137,12 +137,15 @@ def met(rows: DataFrame) -> DataFrame:
             yield from held[0].select(names).to_batches()
 
     names = ["key", "node", "place"]
-    return rows.repartition("key", "salt").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long, place long")
+    return rows.repartition("key", "salt").sortWithinPartitions("key", "node").mapInArrow(tidy(run), "key long, node long, place long")
 
 
-def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, node, place, root, k) of the keys that have several roots; k is the number of their blocks."""
-    known = written(rows.join(roots, "node", "left").select("key", "node", "place", F.coalesce("root", "node").alias("root")))
+def rooted(rows: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(key, node, place, root, k) of the keys that have several roots; k is the number of their blocks. Without roots each node is its own."""
+    if roots is None:
+        known = rows.select("*", F.col("node").alias("root"))
+    else:
+        known = written(rows.join(roots, "node", "left").select("key", "node", "place", F.coalesce("root", "node").alias("root")))
     parts = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum(F.shiftright("place", 32)) / F.lit(BLOCK_SHINGLES))).cast("int")
     keys = written(known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), parts.alias("k")).where("lo < hi").select("key", "k"))
     return known.join(keys, "key")
@@ -223,7 +226,7 @@ def candidates(rows: DataFrame, similarity: float, centres: bool) -> DataFrame:
         dealt = placed.select("key", F.col("own").alias("i"), F.col("own").alias("j"), "node", "place", "root")
     else:
         dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("key", F.least("own", "other").cast("long").alias("i"), F.greatest("own", "other").cast("long").alias("j"), "node", "place", "root")
-    return dealt.repartition(*by).sortWithinPartitions(*by, F.xxhash64("node", "key"), "node").mapInArrow(run, "kind int, key long, i long, j long, a long, b long")
+    return dealt.repartition(*by).sortWithinPartitions(*by, F.xxhash64("node", "key"), "node").mapInArrow(tidy(run), "kind int, key long, i long, j long, a long, b long")
 
 
 def by_runs(batches: Iterator[pa.RecordBatch], by: list[str], emit) -> Iterator[pa.RecordBatch]:
@@ -254,7 +257,7 @@ def sets_at(docs: DataFrame, where: DataFrame, shingle: int) -> DataFrame:
             ends = np.cumsum([0, *(len(sets[i]) for i in first)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.ListArray.from_arrays(pa.array(ends), pa.array(_concat([sets[i] for i in first], np.uint64).view(np.int64)))], ["node", "s"])
 
-    found = docs.join(where.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(run, "node long, s array<long>")
+    found = docs.join(where.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(tidy(run), "node long, s array<long>")
     # a document's id may be that of other texts too, or of many copies
     return found.join(where.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("s").alias("s"))
 
@@ -285,7 +288,7 @@ def linked_blocks(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFr
         yield from by_runs(batches, by, emit)
 
     whole = rows.select(*by, F.col("a").alias("node")).join(sets, "node")
-    return whole.repartition(*by).sortWithinPartitions(*by, "node").mapInArrow(run, "a long, b long")
+    return whole.repartition(*by).sortWithinPartitions(*by, "node").mapInArrow(tidy(run), "a long, b long")
 
 
 def forest(node: np.ndarray, values: np.ndarray, size: np.ndarray, similarity: float) -> np.ndarray:
