@@ -13,6 +13,7 @@ word is sent once by each block, not for each occurrence. Extra columns are not
 from __future__ import annotations
 
 import base64
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -26,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from segspark.llm.shared import tidy, trim
 from segspark.llm.text import xxh64
 
 #: Characters of the texts of a block, about: bounds a task's memory (a longer text is a block of its own).
@@ -225,12 +227,12 @@ def _encode_words(vocabulary: Vocabulary):
     return run
 
 
-def _reassemble(kept: pa.Table, coded: pa.Table) -> pa.Table:
+def _reassemble(kept: pa.Table, coded: pa.Table) -> Iterator[pa.RecordBatch]:
     """(doc_id, ids) of each document of a block."""
     about = kept.filter(pa.compute.equal(kept.column("bucket"), -1)).column("places")[0].as_py()
     places = dict(zip(kept.column("bucket").to_pylist(), kept.column("places").to_pylist()))
     messages = [(ids, places[i]) for i, ids in zip(coded.column("bucket").to_pylist(), coded.column("ids").to_pylist())]
-    return pa.Table.from_batches(_documents(about, messages))
+    return _documents(about, messages)
 
 
 def _documents(about: bytes, messages: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -259,17 +261,26 @@ def _documents(about: bytes, messages: list[tuple[bytes, bytes]]) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([pa.array(doc_ids[at : at + 1000], mask=~known[at : at + 1000]), _from_parts(parts)], ["doc_id", "ids"])
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, ids): the ids of every text as little-endian unsigned 32-bit integers."""
+def _blocks_and_ids(docs: DataFrame, vocabulary: Vocabulary, block_chars: int):
+    """The messages of all blocks, and the ids that come back to them, grouped by block."""
     text = F.coalesce("text", F.lit(""))
     words = F.regexp_extract_all(text, F.lit(java_pattern(vocabulary.pattern)), F.lit(0))
     # a bucket's distinct words must fit into a task's memory: their number follows that of the shuffle's partitions
     buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text).cast("long").alias("n"), words.alias("words")).mapInArrow(_blocks(block_chars, buckets), _SCHEMA)
+    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text).cast("long").alias("n"), words.alias("words")).mapInArrow(tidy(_blocks(block_chars, buckets)), _SCHEMA)
     # one shuffle by block, which is read twice: its words go on to their buckets and come back as ids, its places stay
     blocks = sent.repartition("block")
-    coded = blocks.mapInArrow(_words_only, "block long, bucket int, words binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(vocabulary), "block long, bucket int, ids binary")
-    return blocks.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_reassemble, "doc_id long, ids binary")
+    coded = blocks.mapInArrow(tidy(_words_only), "block long, bucket int, words binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_encode_words(vocabulary)), "block long, bucket int, ids binary")
+    return blocks.groupBy("block").cogroup(coded.groupBy("block"))
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(doc_id, ids): the ids of every text as little-endian unsigned 32-bit integers."""
+    return _blocks_and_ids(docs, vocabulary, block_chars).applyInArrow(lambda kept, coded: pa.Table.from_batches(_reassemble(kept, coded)), "doc_id long, ids binary")
+
+
+def _decoded(ids: bytes, table: list[bytes]) -> bytes:
+    return b"".join([table[i] for i in memoryview(ids).cast("I")])
 
 
 def decode(coded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -280,16 +291,27 @@ def decode(coded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = vocabulary.table()
         for batch in batches:
-            decoded = [b"".join([table[i] for i in memoryview(x).cast("I")]) for x in batch.column("ids").to_pylist()]
+            decoded = [_decoded(x, table) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names[:-1]), _from_parts(decoded)], names)
 
     return coded.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "decoded binary"]))
 
 
 def digests(docs: DataFrame, vocabulary: Vocabulary, keep_ids: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) after encoding and decoding every text, and the ids if asked for."""
-    coded = encode(docs, vocabulary, block_chars)
-    kept = [F.col("ids").alias("coded")] if keep_ids else []
-    counted = coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids", *kept)
-    out = decode(counted, vocabulary)
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), *(F.col("coded").alias("ids") for _ in kept))
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) after encoding and decoding every text, and the ids if asked for.
+
+    A block's ids are decoded where they are put together, so neither they nor the decoded bytes travel.
+    """
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]
+
+    def run(kept: pa.Table, coded: pa.Table) -> pa.Table:
+        table, out = vocabulary.table(), []
+        for batch in _reassemble(kept, coded):
+            ids = batch.column("ids").to_pylist()
+            digest = lambda parts: pa.array([hashlib.sha256(x).hexdigest() for x in parts], pa.string())
+            columns = [batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), digest(ids), digest(_decoded(x, table) for x in ids)]
+            out.append(pa.RecordBatch.from_arrays([*columns, *[batch.column("ids")] * keep_ids], names))
+        trim()
+        return pa.Table.from_batches(out)
+
+    return _blocks_and_ids(docs, vocabulary, block_chars).applyInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
