@@ -46,6 +46,7 @@ GIVEN = {
 SYLLABLES = {"latin": "ba da fe go ha ke li mo na pe ri so ta ve wi zu".split(), "cyrillic": "ба да ве го жи ка ле мо на пе ри со та фе ху ци".split(), "greek": "βα γα δε ζο θι κα λε μο να πε ρι σο τα φε χυ ψι".split()}
 
 _TITLE = "|".join(t for g in TITLES.values() for t in sorted(g, key=len, reverse=True))
+_TITLE_LETTERS = "".join(sorted({t[0] for g in TITLES.values() for t in g}))
 # Particles of family names, which stay. Those of the second list are articles elsewhere: they count right after a form of address or another particle only.
 _PARTICLES = "van von de del della di da dos das du la le las los bin ibn af av ter ten".split()
 _ARTICLES = "der den dem".split()
@@ -56,15 +57,16 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Kinds and their patterns, in order of preference. The combined pattern tries them in this order at each place.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
-    "secret": r"(?<=(?i:token|secret|password|passwd|api_key|apikey)(?: ?[=:] ?)[\"']?)[A-Za-z0-9_+/.=-]{8,}+|(?<![A-Za-z0-9])(?i:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Z0-9]{20,}+|sk-[A-Z0-9]{20,}+|[0-9a-f]{32,}+)(?![A-Za-z0-9])",
+    "secret": r"(?<=[=:] ?[\"']?)(?<=(?i:token|secret|password|passwd|api_key|apikey)(?: ?[=:] ?)[\"']?)[A-Za-z0-9_+/.=-]{8,}+|(?<![A-Za-z0-9])(?i:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Z0-9]{20,}+|sk-[A-Z0-9]{20,}+|[0-9a-f]{32,}+)(?![A-Za-z0-9])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "card": r"(?<![\d+])\d(?:[ -]?\d){12,18}(?!\d)",
     "phone": r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\p{L}\p{N}(])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
-    "name": rf"(?<![\p{{L}}])(?:(?:{_TITLE})\.? )+(?:(?:{'|'.join(_ARTICLES)}) )?{_PARTICLE}*{_PART}(?: {_PARTICLE}*{_PART})*",
+    "name": rf"(?<![\p{{L}}])(?=[{_TITLE_LETTERS}])(?:(?:{_TITLE})\.? )+(?:(?:{'|'.join(_ARTICLES)}) )?{_PARTICLE}*{_PART}(?: {_PARTICLE}*{_PART})*",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: No pattern starts within a word of ASCII letters, but for digits: that is looked at first, since it fails at most places.
+ANY = r"(?:(?=[0-9])|(?<![A-Za-z]))(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 #: What a text with an entity holds at least: texts without it are not searched.
 HINT = rf"[@0-9]|{_TITLE}|(?i:token|secret|passw|api_?key|sk-|gh[pousr]_|AKIA|[a-f]{{32}})"
 
