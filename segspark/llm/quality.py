@@ -9,7 +9,7 @@ smallest hash of their doc_id; its temperature is fitted on the part of them tha
 
 A null or empty text has the features of no words and a score too. Labels without quality or doc_id
 are not used; of several labels of a document the largest counts. Without both classes among the
-labels every score is the smoothed share of ones. Each input row gives one row. Extra columns are not read.
+labels every score is the smoothed share of ones. Of rows that share a labelled doc_id one teaches. Each input row gives one row. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segspark.llm.shared import tidy
+from segspark.llm.shared import free_name, tidy
 from segspark.llm.text import chunks, xxh64
 
 BUCKETS, SHAPES, DIMS = 4096, 64, 32
@@ -184,20 +184,22 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> tuple[B
 
     # the sample's size is bounded, so it may be sent everywhere
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality")
-    got = rows.mapInArrow(features, "doc_id long, quality int, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
+    made = rows.mapInArrow(features, "doc_id long, quality int, x binary").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("x").alias("x"))
+    got = made.toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
     x = np.stack([np.frombuffer(r, "<f4") for r in got.column("x").to_pylist()]).astype(float) if got.num_rows else np.zeros((0, 2 * DIMS))
     return vectors, sc.broadcast(Network(x, np.array(got.column("quality").to_pylist(), float)))
 
 
 def score(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
-    """All columns of the documents and ``score``, the probability of quality 1."""
+    """All columns of the documents and ``score``, the probability of quality 1; ``score_`` if they have a column of that name."""
     vectors, network = fit(docs, labels, most)
-    fields = [f for f in docs.schema.fields if f.name != "score"]
-    names = [*(f.name for f in fields), "score"]
+    fields = docs.schema.fields
+    name = free_name("score", docs.columns)
+    names = [*(f.name for f in fields), name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, "text"):
             s = network.value.scores(pooled(texts, vectors.value))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names[:-1]), pa.array(s)], names)
 
-    return docs.select(*(f"`{f.name}`" for f in fields)).mapInArrow(tidy(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double"]))
+    return docs.select(*(f"`{f.name}`" for f in fields)).mapInArrow(tidy(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"{name} double"]))

@@ -15,6 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores as it takes to differ from all columns in any letter case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. Only where it is unset and all runs on one machine, as in tests, a local one is set."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
