@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segspark.llm.shared import delete, written
+from segspark.llm.shared import delete, free_name, written
 
 KEY = "surrogates-1"
 #: Attempts from this on lengthen the surrogate, so that small ranges don't run out.
@@ -269,8 +269,8 @@ def attempts(found: DataFrame) -> DataFrame:
 
 
 def replace(docs: DataFrame) -> DataFrame:
-    """The documents with ``text`` replaced, and ``n_entities``, the number of its mentions."""
-    columns = [c for c in docs.columns if c not in ("text", "n_entities")]
+    """The documents with ``text`` replaced, and ``n_entities``, the number of its mentions; ``n_entities_`` if they have a column of that name."""
+    columns = [c for c in docs.columns if c != "text"]
     quoted = [F.col(f"`{c}`") for c in columns]
     found = attempts(entities(docs))
     rows = docs.select(F.struct(*quoted).alias("kept"), "text", mentions(F.col("text")).alias("found"))
@@ -287,4 +287,4 @@ def replace(docs: DataFrame) -> DataFrame:
     made = F.transform("found", lambda m: _let(surrogate_of(m["kind"], m["canonical"], attempt(m)), lambda made: _shaped(m["kind"], m["mention"], made)))
     between = F.split("text", ANY, -1)
     text = F.when(F.size("found") > 0, F.array_join(F.flatten(F.zip_with(between, made, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")).otherwise(F.col("text"))
-    return rows.select(*(F.col(f"kept.`{c}`").alias(c) for c in columns), text.alias("text"), F.size("found").cast("long").alias("n_entities"))
+    return rows.select(*(F.col(f"kept.`{c}`").alias(c) for c in columns), text.alias("text"), F.size("found").cast("long").alias(free_name("n_entities", docs.columns)))

@@ -33,7 +33,7 @@ def luhn(s):
 def replaced(spark, texts):
     rows = [(i, t, "k", 5) for i, t in enumerate(texts)]
     out = pii.replace(spark.createDataFrame(rows, "doc_id long, text string, kept string, n_entities int"))
-    assert out.columns == ["doc_id", "kept", "text", "n_entities"]
+    assert out.columns == ["doc_id", "kept", "n_entities", "text", "n_entities_"] and {r.n_entities for r in out.collect()} <= {5}
     return [r.text for r in sorted(out.collect(), key=lambda r: r.doc_id)]
 
 
