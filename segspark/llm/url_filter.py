@@ -47,18 +47,27 @@ def bloom(keys: DataFrame) -> np.ndarray:
 
 
 def may_hold(spark: SparkSession, keys: DataFrame):
-    """A column function of (host, path): false only if no such key is listed."""
+    """A column function of an array of (host, path): the numbers of those that may be listed; all that are listed are among them."""
     sent = spark.sparkContext.broadcast(bloom(keys))
 
-    @F.pandas_udf("boolean")
-    def probe(place: pd.Series, bits: pd.Series) -> pd.Series:
-        table = sent.value
-        rows = table[np.mod(place.to_numpy(np.int64), len(table))]
-        b = bits.to_numpy(np.int64).view(np.uint64)
+    @F.pandas_udf("array<int>")
+    def probe(places: pd.Series, bits: pd.Series) -> pd.Series:
+        """The numbers of the keys of each row that may be listed."""
+        table, sizes = sent.value, places.map(len).to_numpy()
+        if not sizes.sum():
+            return pd.Series([[]] * len(places))
+        place, b = (np.concatenate(x.to_list()).astype(np.int64) for x in (places, bits))
+        b = b.view(np.uint64)
+        rows = table[np.mod(place, len(table))]
         at = np.stack([(b >> np.uint64(6 * i)) & np.uint64(63) for i in range(WORDS)], 1)
-        return pd.Series(((rows >> at) & np.uint64(1)).all(1))
+        may = ((rows >> at) & np.uint64(1)).all(1)
+        ends = np.cumsum(sizes)
+        number = np.arange(len(may)) - np.repeat(ends - sizes, sizes)
+        return pd.Series([number[a:e][may[a:e]].astype(np.int32) for a, e in zip(ends - sizes, ends)])
 
-    return lambda host, path: probe(F.xxhash64(host, path), F.xxhash64(path, host))
+    probe = probe.asNondeterministic()  # so that it is evaluated once, where it stands
+    hashes = lambda keys, one, two: F.transform(keys, lambda k: F.xxhash64(k[one], k[two]))
+    return lambda keys: probe(hashes(keys, "host", "path"), hashes(keys, "path", "host"))
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
@@ -66,19 +75,21 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     spark = pages.sparkSession
     listed = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     lengths = sorted(r[0] for r in listed.select(F.length("path")).distinct().collect())  # as many as paths have lengths
+    labels = listed.agg(F.max(F.size(F.split("host", "\\.")))).first()[0] or 0
     held = may_hold(spark, listed)
     url = F.col("url")
-    rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path")).withColumn("row", F.monotonically_increasing_id())
-    parts = F.split("host", "\\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    # a host's suffixes of as many labels as listed hosts have at most: a long host makes no more of them
+    suffix = lambda i: F.call_function("substring_index", F.col("host"), F.lit("."), -i)
+    hosts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(labels)), suffix)) if labels else F.array().cast("array<string>")
     starts = F.filter(F.array(*(F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths)), lambda p: p.isNotNull()) if lengths else F.array().cast("array<string>")
-    prefixes = F.flatten(F.transform(hosts, lambda h: F.transform(starts, lambda p: F.struct(h.alias("host"), p.alias("path")))))
-    tried = rows.select("*", F.posexplode_outer(prefixes).alias("i", "c"))
-    tried = tried.select("row", "page_id", "host", "path", "i", "c", held(F.coalesce("c.host", F.lit("")), F.coalesce("c.path", F.lit(""))).alias("may"))
-    # a row that has no hit keeps its first prefix, without a key
-    kept = tried.where("may or i = 0 or i is null").select("row", "page_id", "host", "path", F.when(F.col("may"), F.col("c.host")).alias("h"), F.when(F.col("may"), F.col("c.path")).alias("p"))
+    keys = F.flatten(F.transform(hosts, lambda h: F.transform(starts, lambda p: F.struct(h.alias("host"), p.alias("path")))))
+    rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), F.monotonically_increasing_id().alias("row")).withColumn("keys", keys)
+    tried = rows.select("row", "page_id", "host", "path", "keys", held(F.col("keys")).alias("hits"))
+    # only possible hits are shuffled; the other rows are judged where they are read
     fits = listed.select(F.col("host").alias("h"), F.col("path").alias("p"), "verdict")
-    joined = kept.join(fits, ["h", "p"], "left")
+    hits = tried.where(F.size("hits") > 0).select("row", "page_id", "host", "path", F.explode(F.transform("hits", lambda i: F.element_at("keys", i + 1))).alias("k"))
+    joined = hits.select("row", "page_id", "host", "path", F.col("k.host").alias("h"), F.col("k.path").alias("p")).join(fits, ["h", "p"], "left")
     best = F.max(F.when(F.col("verdict").isNotNull(), F.struct((F.length("h") + F.length("p")).alias("n"), F.length("h").alias("m"), F.concat("h", "p").alias("rule"), "verdict")))
-    out = joined.groupBy("row", "page_id", "host", "path").agg(best.alias("best"))
-    return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    found = joined.groupBy("row", "page_id", "host", "path").agg(best.alias("best")).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    rest = tried.where(F.size("hits") == 0).select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    return found.union(rest)
