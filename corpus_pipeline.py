@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segspark.llm import bpe, contamination, pii, quality, simhash
-from segspark.llm.shared import written
+from segspark.llm.shared import delete, free_name, written
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are likelier good than not."""
-    return quality.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("score >= 0.5").select(*docs.columns)
+    scored = quality.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.where(F.col(free_name("score", docs.columns)) >= 0.5).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        delete(*last)
+        last = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
