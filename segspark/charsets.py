@@ -67,8 +67,9 @@ def expand(rule: str) -> str:
 
 _TAIL = f"{CONSONANT}{CONSONANT}?[\u0e34\u0e38\u0e39]?"
 _AHEAD = {5: f"{expand(_SPLITS[0])}{_TAIL}(?={KARAN})", 6: f"{expand(_SPLITS[1])}{_TAIL}(?={KARAN})"}
+_CLUSTERS = "|".join(p for i, r in enumerate(CLUSTER_RULES) for p in ([_AHEAD[i]] if i in _AHEAD else []) + [expand(r)])
 #: One pattern for all clusters; any other character is a cluster of its own.
-CLUSTER = "(?s)" + "|".join(p for i, r in enumerate(CLUSTER_RULES) for p in ([_AHEAD[i]] if i in _AHEAD else []) + [expand(r)]) + "|."
+CLUSTER = f"(?s){_CLUSTERS}|."
 #: The same without look-ahead, for engines that have none; clusters that fit CLUSTER_SPLIT are cut before their last character.
 CLUSTER_PLAIN = "(?s)" + "|".join(map(expand, CLUSTER_RULES)) + "|."
 CLUSTER_SPLIT = "^(?:" + "|".join(f"{expand(s)}{_TAIL}{KARAN}" for s in _SPLITS) + ")$"
@@ -78,8 +79,11 @@ _DIGITS = "[0-9]+(?:[,.][0-9]+)*"
 _THAI_DIGITS = "[\u0e50-\u0e59]+(?:[,.][\u0e50-\u0e59]+)*"
 NON_THAI = ["[-a-zA-Z]+", _DIGITS, _THAI_DIGITS, "[ \t]+", "\r?\n"]
 _OTHER = "[^-a-zA-Z0-9\u0e50-\u0e59 \t\r\n]"
-#: Segmentation with an empty dictionary, for Java and Python; then for engines without look-ahead (exact if no \r is followed by \n).
-NO_DICTIONARY = "|".join([*NON_THAI, f"(?:{_OTHER}|\r(?!\n))+"])
+#: A character that no cluster of several characters starts with.
+_ALONE = "[^-a-zA-Z0-9\u0e50-\u0e59 \t\r\n\u0e01-\u0e2e\u0e40-\u0e44]"
+#: Segmentation with an empty dictionary, for Java and Python: an unknown run goes on by whole clusters, one of which holds a space.
+NO_DICTIONARY = "|".join([*NON_THAI, f"(?:{_ALONE}|{_CLUSTERS}|{_OTHER}|\r(?!\n))++"])
+#: The same for engines without look-ahead (exact if no \r is followed by \n and no cluster holds a space).
 NO_DICTIONARY_PLAIN = "|".join([*NON_THAI, f"(?:{_OTHER}|\r)+"])
 
 # Limits.

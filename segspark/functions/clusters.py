@@ -1,9 +1,12 @@
-"""Character clusters as one JVM regular expression."""
+"""Character clusters as one JVM regular expression; their offsets by an Arrow function."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from segspark import charsets as C
 
@@ -14,18 +17,27 @@ def clusters(col: Column | str) -> Column:
     return F.coalesce(F.regexp_extract_all(c, F.lit(C.CLUSTER), F.lit(0)), F.array().cast("array<string>"))
 
 
-def cluster_ends(col: Column | str) -> Column:
-    """End offsets of the clusters, in code points. The running sum reads one growing array per text."""
-    lengths = F.transform(clusters(col), F.length)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
-    step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["ends"], F.array(acc["at"] + n)).alias("ends"))
-    return F.aggregate(lengths, start, step, lambda acc: acc["ends"])
+@F.arrow_udf(ArrayType(IntegerType()))
+def running(lengths: pa.Array) -> pa.Array:
+    """The running sums of each array: of all arrays of a batch at once."""
+    offsets = lengths.offsets.to_numpy()
+    total = np.concatenate([[0], np.cumsum(lengths.flatten().to_numpy(), dtype=np.int64)])
+    starts = offsets - offsets[0]
+    sums = total[1:] - np.repeat(total[starts[:-1]], np.diff(starts))
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(sums, pa.int32()))
+
+
+def ends_of(tokens: Column) -> Column:
+    """End offsets of the parts of a text, in code points; the array is not null."""
+    return running(F.transform(tokens, F.length))
 
 
-def cluster_rows(df, id_col: str, text_col: str):
-    """Rows (id, pos, cluster, end). Ends come from a window over the exploded rows, so long texts stay linear."""
-    from pyspark.sql import Window
+def cluster_ends(col: Column | str) -> Column:
+    """End offsets of the clusters, in code points."""
+    return ends_of(clusters(col))
+
 
-    rows = df.select(F.col(id_col), F.posexplode(clusters(text_col)).alias("pos", "cluster"))
-    w = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select(id_col, "pos", "cluster", F.sum(F.length("cluster")).over(w).cast("int").alias("end"))
+def cluster_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (id, pos, cluster, end): offsets are made within a text, so nothing is shuffled."""
+    found = df.select(F.col(id_col), clusters(text_col).alias("clusters")).select(id_col, "clusters", ends_of(F.col("clusters")).alias("ends"))
+    return found.select(id_col, F.posexplode(F.arrays_zip("clusters", "ends")).alias("pos", "c")).select(id_col, "pos", F.col("c.clusters").alias("cluster"), F.col("c.ends").alias("end"))

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segspark import charsets as C
-from segspark.functions.clusters import cluster_ends, clusters
+from segspark.functions.clusters import cluster_ends, clusters, ends_of
 from segspark.functions.normalize import normalize
 from segspark.operators.dictionary import registry, words_of
 from segspark.operators.lattice import segment_text
@@ -16,10 +16,7 @@ EMPTY = "array<string>"
 
 
 def segment_plain(col: Column | str) -> Column:
-    """Tokens without any dictionary: one JVM regular expression. NULL and empty text give an empty array.
-
-    It takes no cluster that swallows a space into account; texts with such a cluster need segment().
-    """
+    """Tokens without any dictionary: one JVM regular expression. NULL and empty text give an empty array."""
     c = F.col(col) if isinstance(col, str) else col
     return F.coalesce(F.regexp_extract_all(c, F.lit(C.NO_DICTIONARY), F.lit(0)), F.array().cast(EMPTY))
 
@@ -47,12 +44,11 @@ def token_rows(df, id_col: str, tokens: Column):
     return df.select(F.col(id_col), F.posexplode(tokens).alias("pos", "token"))
 
 
-def token_offsets(rows, id_col: str):
-    """Adds start and end, in code points."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("end", F.sum(F.length("token")).over(w).cast("int")).withColumn("start", F.col("end") - F.length("token"))
+def token_offsets(df: DataFrame, id_col: str, tokens: Column) -> DataFrame:
+    """Rows (id, pos, token, start, end) in code points: offsets are made within a text, so nothing is shuffled."""
+    found = df.select(F.col(id_col), tokens.alias("tokens")).select(id_col, "tokens", ends_of(F.col("tokens")).alias("ends"))
+    rows = found.select(id_col, F.posexplode(F.arrays_zip("tokens", "ends")).alias("pos", "t"))
+    return rows.select(id_col, "pos", F.col("t.tokens").alias("token"), (F.col("t.ends") - F.length("t.tokens")).alias("start"), F.col("t.ends").alias("end"))
 
 
 def register_functions(spark: SparkSession, dict_name: str) -> None:
@@ -70,7 +66,7 @@ def register_functions(spark: SparkSession, dict_name: str) -> None:
     spark.udf.register("thai_segment", batch(False))
     spark.udf.register("thai_segment_safe", batch(True))
 
-    @F.udtf(returnType="pos int, token string, start int, end int")
+    @F.udtf(returnType="pos int, token string, start int, end int", useArrow=True)
     class ThaiTokens:
         def eval(self, text: str):
             at = 0

@@ -25,8 +25,7 @@ def resolve(path: str) -> str:
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines split at newlines only, one trailing carriage return off, lines that aren't UTF-8 dropped.
 
-    The text reader splits a file over tasks. It would repair bad bytes, so their marker U+FFFD is
-    looked at in the binary form of the line.
+    The text reader splits a file over tasks and hands the bytes of a line on unchanged, so is_valid_utf8 tells bad lines.
     """
     where = resolve(path)
     jvm = spark.sparkContext._jvm

@@ -1,10 +1,12 @@
 """Columns, dictionaries, SQL functions and streams."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from segspark import cluster_ends, clusters, load_dict, normalize, register_functions, segment
-from segspark.functions.segment import segment_plain, token_offsets, token_rows
+from segspark.functions.segment import segment_plain, token_offsets
 from segspark.operators import dictionary as D
 from segspark.operators.lattice import Words, segment_text
 from segspark.queries import GOLDEN, MINI_TH
@@ -80,7 +82,7 @@ def test_segment(spark):
     assert [r.a for r in again] == [r.a for r in rows]
     with pytest.raises(RuntimeError, match="Dictionary name nope does not exist."):
         segment("t", "nope")
-    offsets = token_offsets(token_rows(df, "id", segment("t", "th")), "id").where("id = 0").orderBy("pos").collect()
+    offsets = token_offsets(df, "id", segment("t", "th")).where("id = 0").orderBy("pos").collect()
     assert [(r.token, r.start, r.end) for r in offsets] == [("ไข่", 0, 3), ("คน", 3, 5), ("2021", 5, 9)]
 
 
@@ -90,6 +92,16 @@ def test_plain_equals_core(spark):
     assert [r.a for r in got] == [segment_text(t, Words([])) for t in texts]
 
 
+def test_plain_equals_core_on_random_text(spark):
+    """Also where a cluster holds a space, and on very long runs."""
+    rng = random.Random(13)
+    parts = [*"กรขเแโาำะัิีุู็์่้ำ ๑12,.-ab\t\r\n!฿", "กรรข์ ็", "รร", "์ ็", "เก", "เริ", "  "]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 40))) for _ in range(3000)] + ["ก" * 200_000, "เกีย" * 50_000, "กรรข์ ็x"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", segment_plain("t").alias("a")).collect()
+    for r in got:
+        assert r.a == segment_text(texts[r.i], Words([])), texts[r.i][:50]
+
+
 def test_sql_functions(spark):
     D.load_words(spark, MINI_TH, "th_sql")
     register_functions(spark, "th_sql")
