@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from weakref import WeakKeyDictionary
 
@@ -55,7 +56,7 @@ class Registry:
         if name in self.frames:
             return False
         self.frames[name] = words
-        words.select(F.lit(name).alias("dict_name"), "word").createOrReplaceTempView(f"dictionary_{name}" if name.isidentifier() else f"`dictionary_{name.replace('`', '')}`")
+        words.select(F.lit(name).alias("dict_name"), "word").createOrReplaceTempView(f"dictionary_{name}" if re.fullmatch(r"[A-Za-z0-9_]+", name) else f"`dictionary_{name.replace('`', '')}`")
         return True
 
     def words(self, name: str) -> DataFrame:

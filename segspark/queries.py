@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segspark import charsets as C
 from segspark.functions import normalize as N
 from segspark.functions.clusters import cluster_rows, clusters
-from segspark.functions.segment import segment, segment_plain, token_rows
+from segspark.functions.segment import register_functions, segment, segment_plain, token_offsets, token_rows
 from segspark.operators import dictionary as D
+from segspark.operators.dictionary import load_dict
 from segspark.plans import analytics as A
-from segspark.sources.wordlist import from_words, stored
+from segspark.sources.wordlist import from_words, read_lines, stored
 
 # ---- inline rows
 
@@ -59,6 +62,39 @@ GOLDEN = {
 }
 
 
+# Texts, dictionaries and the tokens that the rules give.
+_A = "a " * 25
+CASES = [
+    (None, ["x"], []),
+    ("", ["x"], []),
+    (" ", ["x"], [" "]),
+    ("ไข่คน2021", [], ["ไข่คน", "2021"]),
+    ("a\r\nb\n\n\tc\rd", [], ["a", "\r\n", "b", "\n", "\n", "\t", "c", "\r", "d"]),
+    ("x-y 1,234.50,", [], ["x-y", " ", "1,234.50", ","]),
+    ("xก์y", [], ["x", "ก์", "y"]),
+    ("กรรข์ ็x", [], ["กรรข์ ็", "x"]),
+    ("theretofore", ["the", "there", "reto"], ["the", "reto", "fore"]),
+    ("abcd", ["a", "ab", "abc", "bcd", "cd"], ["a", "bcd"]),
+    ("ตากลม", ["ตา", "ตาก", "กลม", "ลม"], ["ตา", "กลม"]),
+    ("4200", ["42"], ["42", "00"]),
+    ("เขา ไป โรงเรียน", ["เขา", "เขา ไป", "โรงเรียน"], ["เขา ไป", " ", "โรงเรียน"]),
+    ("ฮฮฮกกคน", ["กก", "คน"], ["ฮฮฮกกคน"]),
+    ("ก" * 60, ["ก" * n for n in range(1, 21)], ["ก" * n for n in (1, 20, 1, 20, 18)]),
+    (_A[:49] + "การทดสอบ", ["การ", "ทดสอบ", "การทดสอบ"], [*_A[:49], "การทดสอบ"]),
+    (_A + "การทดสอบ", ["การ", "ทดสอบ", "การทดสอบ"], [*_A, "การ", "ทดสอบ"]),
+]
+#: Fixed value: a text of 158 characters that safe mode cuts into parts of 40 and 118, and its tokens.
+_UNIT = ["ราคา", " ", "550", " ", "บาท", " ", "เขา", "ชอบ", " ", "pizza", " ", "มาก", " "]
+SAFE_TEXT = "".join(_UNIT) * 5 + "การทดสอบ"
+SAFE_PARTS = [[*_UNIT, "ราคา", " ", "550", " ", "บ"], ["าท", *_UNIT[5:], *_UNIT * 3, "การทดสอบ"]]
+#: Fixed value: the reference mode takes the second part's tokens from the start of the text, at the same lengths.
+_LENGTHS = [len(t) for t in SAFE_PARTS[1]]
+SAFE_REFERENCE = SAFE_PARTS[0] + [SAFE_TEXT[sum(_LENGTHS[:i]) : sum(_LENGTHS[: i + 1])] for i in range(len(_LENGTHS))]
+#: Lines of a file of words, one of which is not UTF-8, and the words that it holds.
+FILE = "กา\r\n  กาแฟ \n\nx\ry\n".encode() + b"\xff\xfe\n42"
+FILE_WORDS = ["กา", "กาแฟ", "x\ry", "42"]
+
+
 def _read(spark: SparkSession, d: str, table: str, *cols: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet").select(*cols)
 
@@ -183,6 +219,61 @@ def seg_lossless(s: SparkSession, d: str) -> DataFrame:
     return _documents(s, d).select("text_id", F.concat_ws("", segment("text", _dict(s, "latin", LATIN), spark=s)).alias("text"))
 
 
+def seg_cases(s: SparkSession, d: str) -> DataFrame:
+    """Nulls, ties, dead ends, the edge cap and its counter, short words: each text with its own dictionary."""
+    out = None
+    for words in dict.fromkeys(tuple(w) for _, w, _ in CASES):
+        rows = s.createDataFrame([(i, t) for i, (t, w, _) in enumerate(CASES) if tuple(w) == words], "text_id long, text string")
+        tokens = segment("text", _dict(s, f"case_{len(words)}_{'_'.join(words)[:20]}", words), parallel=True, spark=s)
+        found = rows.select("text_id", tokens.alias("t")).select("text_id", F.size("t").alias("n_tokens"), F.concat_ws("|", "t").alias("tokens"))
+        out = out.union(found) if out else found
+    return out
+
+
+def seg_safe_thai(s: SparkSession, d: str) -> DataFrame:
+    """Safe mode with a dictionary, corrected and as the reference slices it."""
+    rows = s.createDataFrame([(SAFE_TEXT,)], "text string")
+    name = _dict(s, "mini_th", MINI_TH)
+    modes = F.array(*(F.struct(F.lit(c).alias("compat"), segment("text", name, safe=True, compat=c, spark=s).alias("t")) for c in ("corrected", "reference")))
+    return rows.select(F.explode(modes).alias("m")).select("m.compat", F.posexplode("m.t").alias("pos", "token"))
+
+
+def seg_offsets(s: SparkSession, d: str) -> DataFrame:
+    return token_offsets(_documents(s, d), "text_id", segment_plain("text"))
+
+
+def seg_sql(s: SparkSession, d: str) -> DataFrame:
+    """The SQL functions and the table function."""
+    register_functions(s, _dict(s, "mini_th", MINI_TH))
+    s.createDataFrame(list(enumerate(GOLDEN)), "text_id long, text string").createOrReplaceTempView("golden_texts")
+    return s.sql("SELECT g.text_id, t.pos, t.token, t.start, t.`end`, size(thai_segment(g.text)) AS n_tokens FROM golden_texts g, LATERAL thai_tokens(g.text) t")
+
+
+def _word_file(s: SparkSession) -> str:
+    """The fixed lines as a file where all executors can read it."""
+    where = (s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    jvm = s.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{where}/words-{uuid.uuid4().hex}.txt")
+    fs = path.getFileSystem(s.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(path)
+    out.write(FILE)
+    out.close()
+    return fs.makeQualified(path).toString()
+
+
+def dict_file(s: SparkSession, d: str) -> DataFrame:
+    """The words that a file gives, bad lines left out."""
+    return stored(read_lines(s, _word_file(s)))
+
+
+def dict_load_twice(s: SparkSession, d: str) -> DataFrame:
+    """A name is taken once: the second file is refused and the first one's words stay."""
+    name, path = f"file_{uuid.uuid4().hex}", _word_file(s)
+    results = [load_dict(s, path, name) for _ in range(2)]
+    rows = s.createDataFrame([(i, m.split(":")[0], ok) for i, (m, ok) in enumerate(results)], "attempt long, message string, ok boolean")
+    return rows.crossJoin(D.size(D.registry(s).words(name)))
+
+
 _SAFE = f"""WITH RECURSIVE cuts AS (
   SELECT doc_id, 0 AS beg, 0 AS n, length(text) AS size, text FROM documents
   UNION ALL
@@ -233,6 +324,12 @@ QUERIES = {
     "seg_thai_golden": seg_thai_golden,
     "seg_safe": seg_safe,
     "seg_lossless": seg_lossless,
+    "seg_cases": seg_cases,
+    "seg_safe_thai": seg_safe_thai,
+    "seg_offsets": seg_offsets,
+    "seg_sql": seg_sql,
+    "dict_file": dict_file,
+    "dict_load_twice": dict_load_twice,
     "tok_count_by_lang": flagship,
     "tok_topk": lambda s, d: A.top_tokens(_documents(s, d), segment_plain("text"), 50),
     "vocab_by_source": lambda s, d: A.vocabulary(_documents(s, d), "source", segment_plain("text")),
@@ -261,6 +358,12 @@ SQL = {
     "seg_thai_golden": "SELECT text_id::BIGINT AS text_id, unnest(range(len(t)))::INT AS pos, unnest(t) AS token FROM (SELECT text_id, string_split(tokens, '|') AS t FROM " + _values([(i, t) for i, t in enumerate(GOLDEN.values())], "text_id, tokens") + ")",
     "seg_safe": _SAFE,
     "seg_lossless": "SELECT doc_id AS text_id, text FROM documents",
+    "seg_cases": "SELECT text_id::BIGINT AS text_id, n_tokens, tokens FROM " + _values([(i, len(t), "|".join(t)) for i, (_, _, t) in enumerate(CASES)], "text_id, n_tokens, tokens"),
+    "seg_safe_thai": "SELECT compat, pos, token FROM " + _values([(c, i, t) for c, tokens in (("corrected", sum(SAFE_PARTS, [])), ("reference", SAFE_REFERENCE)) for i, t in enumerate(tokens)], "compat, pos, token"),
+    "seg_offsets": f'SELECT text_id, pos, token, ("end" - length(token))::INT AS start, "end"::INT AS "end" FROM (SELECT *, sum(length(token)) OVER (PARTITION BY text_id ORDER BY pos) AS "end" FROM ({_tokens_sql()}))',
+    "seg_sql": 'SELECT text_id, pos, token, ("end" - length(token))::INT AS start, "end"::INT AS "end", n_tokens FROM (SELECT *, sum(length(token)) OVER (PARTITION BY text_id ORDER BY pos) AS "end", count(*) OVER (PARTITION BY text_id)::INT AS n_tokens FROM (SELECT text_id::BIGINT AS text_id, unnest(range(len(t)))::INT AS pos, unnest(t) AS token FROM (SELECT text_id, string_split(tokens, \'|\') AS t FROM ' + _values([(i, t) for i, t in enumerate(GOLDEN.values())], "text_id, tokens") + ")))",
+    "dict_file": "SELECT word FROM " + _values([(w,) for w in FILE_WORDS], "word"),
+    "dict_load_twice": f"SELECT attempt::BIGINT AS attempt, message, ok = 1 AS ok, {len(FILE_WORDS)}::BIGINT AS size FROM " + _values([(0, "Successful", 1), (1, "Failed", 0)], "attempt, message, ok"),
     "tok_count_by_lang": f"SELECT lang, sum(len(regexp_extract_all({_sql_norm(True)}, {_P0})))::BIGINT AS n_tokens, count(*) AS n_texts FROM documents GROUP BY lang",
     "tok_topk": f"SELECT token, count(*) AS n FROM ({_WORDS_BY}) WHERE {_IS_WORD} GROUP BY token ORDER BY n DESC, token LIMIT 50",
     "vocab_by_source": f"SELECT source, count(DISTINCT token) AS n_words FROM ({_WORDS_BY}) WHERE {_IS_WORD} GROUP BY source",

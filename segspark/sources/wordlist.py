@@ -19,7 +19,7 @@ def trim_word(c: Column) -> Column:
 
 def resolve(path: str) -> str:
     """Local paths become absolute; URIs stay as they are."""
-    return path if "://" in str(path) else str(Path(path).resolve())
+    return path if ":/" in str(path) else str(Path(path).resolve())
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -35,7 +35,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         raise FileNotFoundError(where)
     if fs.getFileStatus(at).isDirectory():
         raise IsADirectoryError(where)
-    lines = spark.read.option("lineSep", "\n").text(where if "://" in where else f"file://{where}")
+    lines = spark.read.option("lineSep", "\n").text(where if ":/" in where else f"file://{where}")
     return lines.where(F.is_valid_utf8("value")).select(F.regexp_replace("value", "\r\\z", "").alias("raw"))
 
 
