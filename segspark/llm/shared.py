@@ -87,7 +87,7 @@ def tidy(run):
 
 
 #: Edges that a task contracts at once: bounds its memory.
-EDGES = 1 << 20
+EDGES = 1 << 19
 
 
 def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,15 +130,22 @@ def components(edges: DataFrame) -> DataFrame:
     Tasks first contract what they hold. Then large-star and small-star rounds: each keeps the number of edges within bounds
     and ends after a number of rounds that grows with the logarithm of the longest path. All joins have AQE's skew handling.
     """
-    both = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = written(both.mapInArrow(tidy(contracted), "a long, b long"))
+
+    def fewer(rows: DataFrame) -> DataFrame:
+        """Tasks hold EDGES rows each, about: few edges are contracted as a whole."""
+        stored = written(rows)
+        out = written(stored.coalesce(max(1, -(-stored.count() // EDGES))).mapInArrow(tidy(contracted), "a long, b long"))
+        delete(stored)
+        return out
+
+    now = fewer(edges.where("a <> b").select("a", "b"))
     while not _stars(now):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        new = written(small.mapInArrow(tidy(contracted), "a long, b long"))
+        new = fewer(small)
         delete(now)
         now = new
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
