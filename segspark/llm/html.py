@@ -2,9 +2,11 @@
 
 Markup is stripped into lines, one for each block of the page. Lines of menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments, known by element, class, id
-or role, have length zero. The lengths of three lines are summed at each place; the text between
-a surge of these sums and the next dive to zero is kept. In a page that marks its article, lines
-outside of it have length zero and any sum is a surge; in others a surge needs SURGE characters.
+or role, and lines outside of a marked article that are mostly links, have length zero. The lengths of three lines are summed at each
+place; the text from where they surge, that is exceed SURGE characters, to where they dive to zero is kept. Lines
+that the page marks as its article or main part weigh SURGE more, other lines of that page a quarter (OUTSIDE). A page without any surge keeps all cleaned
+lines. So what is lost are short stretches that zero lines part from the text, and what is kept too many are two short
+lines at most that stand right before an unmarked text.
 
 A null or empty page gives an empty text. Extra columns are not read. Each input row gives one row.
 """
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from segspark.llm.text import chunks
 
-WINDOW, SURGE = 3, 86
+WINDOW, SURGE, OUTSIDE = 3, 86, 4
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"<]*\"|'[^'<]*'|[\"'])*+)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -32,6 +34,7 @@ _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 _RAW = set("script style noscript template textarea title iframe svg math object canvas select option xmp noembed noframes audio video".split())
 _DROPPED = set("nav footer aside form button dialog menu head fieldset".split())
 _REGIONS = ("article", "main")
+_TEXT = set("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 #: Words of class, id or role that mark what is no part of an article.
 _MARKS = set(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead banner ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup social share sharing sharebar related recommended recommendations comment comments commentlist reply replies respond disqus popup modal overlay widget toolbar pagination pager login search searchbox copyright disclaimer contentinfo complementary skip".split()
@@ -60,7 +63,8 @@ def _is_marked(name: str, attributes: str, in_region: bool) -> bool:
         elif key in ("class", "id", "role", "aria-label"):
             for token in value.split():
                 w = _words(token)
-                if not w & _NEGATIONS and (w & _MARKS or (not in_region and w & _NOT_IN_ARTICLES)):
+                # of a paragraph all words must tell: social-history names its subject, not its place
+                if not w & _NEGATIONS and ((w and w <= _MARKS if name in _TEXT else w & _MARKS) or (not in_region and w & _NOT_IN_ARTICLES)):
                     return True
     return False
 
@@ -141,21 +145,18 @@ def lines(page: str) -> list[tuple[str, int, int, bool]]:
     return out
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, window: bool = True) -> str:
+    """The lines between surge and dive points. Without the ``window`` step, which is for measurements, all cleaned lines."""
     found = lines(page or "")
-    size: dict[int, int] = {}
-    for t, _, region, kept in found:
-        if region and kept:
-            size[region] = size.get(region, 0) + len(t)
-    articles = {r: n for r, n in size.items() if r % 2} or size
-    best = max(articles, key=articles.get, default=0)
-    if best:
-        lengths = [len(t) if kept and region == best else 0 for t, _, region, kept in found]
-    else:
-        lengths = [len(t) if kept and 2 * linked <= len(t) else 0 for t, linked, _, kept in found]
-    for surge in (0 if best else SURGE, 0):
-        if between := spans(lengths, surge):
-            break
+    lengths = [len(t) if kept and (region or 2 * linked <= len(t)) else 0 for t, linked, region, kept in found]
+    if not window:
+        return " ".join(t for (t, *_), n in zip(found, lengths) if n)
+    # where a page marks an article, its lines weigh more, so that short ones surge too, and lines outside weigh less
+    marked = any(n and region for n, (_, _, region, _) in zip(lengths, found))
+    weights = [(n + SURGE if region else n // OUTSIDE) if n and marked else n for n, (_, _, region, _) in zip(lengths, found)]
+    cuts = [0, *(i for i in range(1, len(found)) if found[i][2] != found[i - 1][2]), len(found)]
+    parts = [(a, spans(weights[a:b], SURGE)) for a, b in zip(cuts, cuts[1:])]  # a mark's edge is a dive
+    between = [(a + i, a + j) for a, part in parts for i, j in part] or spans(weights, 0)
     return " ".join(found[i][0] for a, b in between for i in range(a, b) if lengths[i])
 
 

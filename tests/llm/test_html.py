@@ -50,3 +50,21 @@ def test_query(spark, tmp_path):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert op3_html(spark, str(tmp_path)).count() == 0
+
+
+#: Hand-labelled pages: html, the lines that are its text. No page relies on one article element alone.
+PROSE = "This paragraph is long enough to be told from menus and notices by the number of its characters alone, as prose is."
+LABELLED = [
+    ("<body><div>Home</div><div>About</div><div>Contact</div><nav>x</nav><div class=ad>y</div><aside>z</aside><form>q</form><div><p>" + PROSE + "</p><p>Short end.</p></div></body>", [PROSE, "Short end."]),
+    ("<body><div><p>" + PROSE + "</p></div><footer>f</footer><nav>n</nav><aside>a</aside><div>Imprint</div><div>Terms</div></body>", [PROSE]),
+    ("<body><article><p class=social-history>A short one.</p><p class=skip-none>Another.</p></article><nav>n</nav><aside>a</aside><nav>m</nav><article><p>" + PROSE + "</p></article></body>", ["A short one.", "Another.", PROSE]),
+    ("<body><ul><li><a href=/>Home page of the whole site</a></li><li><a href=/n>News of today and of yesterday</a></li></ul><p>" + PROSE + "</p><div><p>" + PROSE.lower() + "</p></div></body>", [PROSE, PROSE.lower()]),
+    ("<body><main><h1>T</h1><p>a</p><div class=cookie-notice>" + PROSE + "</div><p>b</p></main></body>", ["T", "a", "b"]),
+    ("<body><p>one</p><p>two</p></body>", ["one", "two"]),
+]
+
+
+def test_labelled_pages_need_the_window():
+    """All labelled pages come out right; without the window step some don't."""
+    right = lambda **more: sum(main_text(page, **more) == " ".join(want) for page, want in LABELLED)
+    assert right() == len(LABELLED) and right(window=False) == len(LABELLED) - 2
