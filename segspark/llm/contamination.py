@@ -30,7 +30,6 @@ SHINGLE, SHARE = 5, 0.8
 #: Hash functions. A stretch with SHARE of an item has a similarity of 0.19 at least with its window: 1.4e-6 of them are missed.
 HASHES = 64
 ITEM_BLOCK_BYTES = 16 << 20
-SMALLEST = 3  # items of up to 2**3 shingles are one partition
 #: Most bits that a partition's filter of minima is addressed by, for each hash function: 2**18 bytes each.
 _FILTER_BITS = 18
 
@@ -53,7 +52,7 @@ class Items:
         self.ids = [r[0] for r in rows]
         self.sets = [np.unique(h[a:b]) for a, b in zip(at, at[1:])]
         self.parts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.uint64]] = {}
-        level = np.array([max(SMALLEST, int(len(s) - 1).bit_length()) for s in self.sets])
+        level = np.array([int(len(s) - 1).bit_length() for s in self.sets])
         with np.errstate(over="ignore"):
             for c in sorted(set(level[[len(s) > 0 for s in self.sets]].tolist())) if len(rows) else []:
                 own = [i for i in np.flatnonzero(level == c) if len(self.sets[i])]

@@ -41,3 +41,13 @@ def test_edges(spark):
         got = contamination.matches(*frames, block_bytes=size).collect()
         assert sorted((str(r.doc_id), str(r.item_id), r.n_shared, r.n_shingles) for r in got) == want
     assert contamination.matches(frames[0].limit(0), frames[1]).count() == contamination.matches(frames[0], frames[1].limit(0)).count() == 0
+
+
+def test_short_items(spark):
+    """Items of few shingles are found wherever they are: in windows of like size, not in larger ones."""
+    rng = random.Random(9)
+    size = lambda d: d % 3 + 1  # noqa: E731  shingles of an item
+    items = [(d, " ".join(f"i{d}x{j}" for j in range(size(d) + 4))) for d in range(6000)]
+    docs = [(d, " ".join([*(f"w{rng.randrange(4000)}" for _ in range(rng.randrange(60))), t, *(f"w{rng.randrange(4000)}" for _ in range(60))])) for d, t in items]
+    found = contamination.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_shared, r.n_shingles) for r in found) == [(d, d, size(d), size(d)) for d, _ in items]
