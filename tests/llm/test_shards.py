@@ -1,9 +1,10 @@
 """Shards: the permutation, the exact round trip, reading on from any slot."""
 
 import numpy as np
+import public_tokenizers
 import pytest
 
-from segspark.llm import shards
+from segspark.llm import bpe, shards
 from segspark.llm.queries import op7_shards
 
 SF = "/root/testdata/sf0.001"
@@ -35,7 +36,12 @@ def test_round_trip(spark, tmp_path):
     index = shards.materialise(df, folder, **sizes)
     check(rows, index.collect(), folder, **sizes)
     before = list(shards.read(folder, 0, 700, **sizes))
-    check(rows, index.collect(), folder, **sizes)  # written again: the same bytes
+    files = lambda: {f.name: f.stat().st_mtime_ns for f in (tmp_path / "out").iterdir()}
+    written = files()
+    check(rows, index.collect(), folder, **sizes)  # reading the table again writes nothing
+    assert files() == written and not any(name.startswith("_") for name in written)
+    assert index.count() and files() == written
+    shards.materialise(df, folder, **sizes)  # written again: the same bytes
     assert before == list(shards.read(folder, 0, 700, **sizes))
     assert shards.materialise(df.where("doc_id = 51"), f"{folder}2").count() == 0
 
@@ -47,3 +53,23 @@ def test_query(spark):
     for r in rows:
         got[r.doc_id] = got.get(r.doc_id, 0) + r.n_tokens
     assert got == {d: n for d, n in sizes.items() if n} and sorted(r.slot for r in rows) == list(range(len(rows)))
+
+
+def test_ids_of_a_vocabulary(spark, tmp_path):
+    """Ids of op9, four bytes each, come back from the shards as they were."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    bpe.digests(docs, bpe.Vocabulary(spark, public_tokenizers.path(bpe.RANKS)), keep_ids=True).write.parquet(f"{tmp_path}/ids")
+    coded = spark.read.parquet(f"{tmp_path}/ids")
+    folder, sizes = f"file://{tmp_path}/out", {"width": 4, "stride": 100, "shard_bytes": 1 << 16}
+    index = sorted(shards.materialise(coded, folder, "ids", **sizes).collect())
+    parts: dict = {}
+    for r, record in zip(index, shards.read(folder, 0, len(index), **sizes), strict=True):
+        assert len(record) == 400 and set(record[4 * r.n_tokens :]) <= {0} and r.offset == r.slot % 163 * 400 and r.shard == r.slot // 163
+        parts.setdefault(r.doc_id, {})[r.part] = record[: 4 * r.n_tokens]
+    assert {d: b"".join(p[k] for k in sorted(p)) for d, p in parts.items()} == {r.doc_id: bytes(r.ids) for r in coded.collect() if r.ids}
+
+
+def test_broken_ids_raise(spark, tmp_path):
+    spark.createDataFrame([(1, b"12345678"), (2, b"123")], "doc_id long, ids binary").write.parquet(f"{tmp_path}/ids")
+    with pytest.raises(Exception, match="3 bytes aren't ids of 4 bytes"):
+        shards.materialise(spark.read.parquet(f"{tmp_path}/ids"), f"file://{tmp_path}/out", "ids", width=4)
