@@ -4,17 +4,19 @@ Each block of items has one list per dimension, sorted by value. A query reads t
 dimension from its larger contributions on: from the top if its component is positive, from the
 bottom if it is negative. After each round of reading every item has a lower bound (what was read
 of it, and the least contribution of each list still unread) and an upper bound (the frontier of
-each such list). A query stops when the items that could still reach its k-th lower bound are few;
+each such list). Lower bounds are running sums: a round adds what it reads, each element once. A query stops when the items that could still reach its k-th lower bound are few;
 their final scores are then resolved. Queries of a block read in common rounds, so that a round is
-a few matrix products over the prefixes read.
+four matrix products: two over what it reads, two over what is left unread.
 
 Vectors that are null, or hold null or non-finite components, take no part. Shorter vectors count
 as padded with zeros. A query's own id is no candidate of it. Each row of a repeated id is a query
-and a candidate of its own. Other columns are not read.
+and a candidate of its own. A score that a long can't hold raises. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a block of items, and of a block of queries: one task's unit holds one of each.
 ITEM_BLOCK, QUERY_BLOCK = 8192, 512
-#: Rounds in which the lists are read to their end at most.
-ROUNDS = 8
+#: How deep the lists have been read at the end of each round, as parts of them: denser where bounds become tight.
+DEPTHS = (1 / 16, 1 / 4, 1 / 2, 3 / 4, 7 / 8, 15 / 16, 1)
 #: Few items, after which scores are resolved: this many times k, or this part of the block.
 FEW, PART = 8, 32
 
@@ -35,37 +37,40 @@ def quantized(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     return vectors.where(F.col(vec_col).isNotNull() & ok).select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"))
 
 
-def nra(items: np.ndarray, queries: np.ndarray, k: int) -> list[np.ndarray]:
-    """For each query the numbers of the items that may be among its k best: all of those with a score of its k-th best too."""
-    n, dims = items.shape
-    out: list[np.ndarray] = [np.arange(n)] * len(queries)
+def nra(items: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, int]]:
+    """For each query the numbers of the items that may be among its k best: all of those with a score of its k-th best too.
+
+    With them comes how deep the query's lists were read.
+    """
+    n = len(items)
+    out: list[tuple[np.ndarray, int]] = [(np.arange(n), n)] * len(queries)
     if n <= FEW * k:
         return out
     order = np.argsort(items, axis=0, kind="stable")
     lists = np.take_along_axis(items, order, 0)
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(n)[:, None], 0)
-    alive = np.arange(len(queries))
-    for r in range(1, ROUNDS + 1):
-        t = -(-n * r // ROUNDS)
-        q = queries[alive]
-        up, down = np.maximum(q, 0), np.minimum(q, 0)
-        # the prefixes that have been read: from the top of each list, and from its bottom
-        top, low = rank >= n - t, rank < t
-        read = np.where(top, items, 0) @ up.T + np.where(low, items, 0) @ down.T
-        if t < n:
-            frontier = (up * lists[n - t], down * lists[t - 1])
-            least = (up * lists[0], down * lists[-1])
-            unread = lambda x: (x[0] + x[1]).sum(1) - top.astype(items.dtype) @ x[0].T - low.astype(items.dtype) @ x[1].T
-            upper, lower = read + unread(frontier), read + unread(least)
+    rank = np.empty(items.shape, np.int32)
+    np.put_along_axis(rank, order, np.arange(n, dtype=np.int32)[:, None], 0)
+    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+    alive, depth = np.arange(len(queries)), 0
+    # before anything is read each list gives its least; what is read then adds its difference from that, once
+    lower = np.broadcast_to((up * lists[0] + down * lists[-1]).sum(1), (n, len(queries)))
+    over = items - lists[0], items - lists[-1]
+    for part in DEPTHS:
+        before, depth = depth, max(1, math.ceil(n * part))
+        # read: from the top of a list, or from its bottom
+        top, low = rank >= n - depth, rank < depth
+        lower = lower + np.where(top & (rank < n - before), over[0], 0) @ up.T + np.where(low & (rank >= before), over[1], 0) @ down.T
+        if depth < n:
+            # lists in which an item is unread give it their frontier at most
+            gap = up * (lists[n - depth] - lists[0]), down * (lists[depth - 1] - lists[-1])
+            upper = lower + (gap[0] + gap[1]).sum(1) - top.astype(items.dtype) @ gap[0].T - low.astype(items.dtype) @ gap[1].T
         else:
-            upper = lower = read
-        bar = np.partition(lower, n - k, axis=0)[n - k]
-        may = upper >= bar
-        done = (may.sum(0) <= max(FEW * k, n // PART)) | (t == n)
+            upper = lower
+        may = upper >= np.partition(lower, n - k, axis=0)[n - k]
+        done = (may.sum(0) <= max(FEW * k, n // PART)) | (depth == n)
         for i in np.flatnonzero(done):
-            out[alive[i]] = np.flatnonzero(may[:, i])
-        alive = alive[~done]
+            out[alive[i]] = np.flatnonzero(may[:, i]), depth
+        alive, lower, up, down = alive[~done], lower[:, ~done], up[~done], down[~done]
         if not len(alive):
             break
     return out
@@ -81,14 +86,15 @@ def _unit(k: int):
             ids = items.column("vec_id").to_numpy(zero_copy_only=False)
             own = queries.column("vec_id").to_numpy(zero_copy_only=False)
             row = queries.column("row").to_pylist()
-            # a double holds these sums exactly unless components are huge
-            exact = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * width < 2**52
-            wide = np.float64 if exact else object
+            # bounds are at most four times this sum: the smallest type that holds them exactly
+            most = _largest(x) * _largest(q) * width * 4
+            exact = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else object
             # k + 1 and those that tie: the query's own rows may be among them
             extra = int(np.unique(ids, return_counts=True)[1].max())
-            for i, near in enumerate(nra(x.astype(wide), q.astype(wide), k + extra) if exact else [np.arange(len(x))] * len(q)):
+            x, q = x.astype(exact), q.astype(exact)
+            for i, (near, _) in enumerate(nra(x, q, k + extra)):
                 near = near[ids[near] != own[i]]
-                score = (x[near].astype(wide) @ q[i].astype(wide)).astype(np.int64)
+                score = (x[near] @ q[i]).astype(np.int64)
                 best = np.lexsort((ids[near], -score))[:k]
                 for column, values in zip(found, ([own[i]] * len(best), [row[i]] * len(best), ids[near][best], score[best])):
                     column.extend(values)
@@ -103,6 +109,10 @@ def _matrix(t: pa.Table) -> np.ndarray:
     return np.stack([np.pad(r, (0, width - len(r))) for r in rows])
 
 
+def _largest(x: np.ndarray) -> int:
+    return max(int(x.max(initial=0)), -int(x.min(initial=0)))
+
+
 def _pad(x: np.ndarray, width: int) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, width - x.shape[1])))
 

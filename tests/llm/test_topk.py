@@ -22,10 +22,32 @@ def test_nra_keeps_the_best():
     for n, d in [(300, 3), (500, 16), (41, 2), (400, 1)]:
         x, q = rng.integers(-9, 9, (n, d)).astype(float), rng.integers(-9, 9, (20, d)).astype(float)
         q[0] = 0
-        for near, s in zip(topk.nra(x, q, 5), (x @ q.T).T):
+        for (near, _), s in zip(topk.nra(x, q, 5), (x @ q.T).T):
             assert set(np.flatnonzero(s >= np.sort(s)[-5])) <= set(near.tolist())
 
 
+def test_reads_little_where_few_stand_out():
+    rng = np.random.default_rng(3)
+    x = rng.integers(-9, 9, (4000, 8)).astype(np.float32)
+    x[:5] = 200
+    near, depth = zip(*topk.nra(x, np.abs(x[100:120]) + 1, 5))
+    assert max(depth) <= 1000 and all(set(range(5)) <= set(v.tolist()) for v in near)
+
+
+def test_wide_components(spark):
+    """Sums that no double holds exactly are exact too."""
+    rng = random.Random(4)
+    rows = [(i, [rng.choice([-3e6, 1e6 + i % 7 / 256, 2e6, 5.0]) for _ in range(4)]) for i in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.search(topk.quantized(df), F.col("vec_id") % 50 == 0).collect())
+    whole = [(i, [math.floor(256 * c) for c in v]) for i, v in rows]
+    want = []
+    for d, q in whole[::50]:
+        best = sorted((-sum(a * b for a, b in zip(q, v)), e) for e, v in whole if e != d)[:5]
+        want += [(d, i + 1, e, -s) for i, (s, e) in enumerate(best)]
+    assert got == sorted(want)
+
+
 def test_edges(spark):
     rng = random.Random(2)
     rows = [(i, [rng.choice([-0.5, 0.0, 0.25, 0.7]) for _ in range(3)]) for i in range(300)]
