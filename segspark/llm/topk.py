@@ -19,6 +19,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,9 +105,12 @@ def _unit(k: int):
 
 
 def _matrix(t: pa.Table) -> np.ndarray:
-    rows = [np.asarray(v, np.int64) for v in t.column("v").to_pylist()]
-    width = max(map(len, rows), default=0)
-    return np.stack([np.pad(r, (0, width - len(r))) for r in rows])
+    """The vectors as rows, shorter ones padded with zeros."""
+    v = pa.concat_arrays(t.column("v").chunks)
+    sizes = pc.list_value_length(v).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(v), sizes.max(initial=0)), np.int64)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = v.flatten().to_numpy(zero_copy_only=False)
+    return out
 
 
 def _largest(x: np.ndarray) -> int:
