@@ -9,7 +9,8 @@ Any LENGTH bytes hold one place with the smallest GRAM bucket (leftmost of equal
 of strings with one anchor are sent to the bucket of that anchor, one row a run. There:
 runs that agree as a whole with an earlier run are repeats; runs that share only the anchor's bucket
 are refined by the buckets of their single strings, made from the bytes around the anchor.
-Buckets with one run go. A run that a task has seen before is a repeat at once and not sent on,
+Buckets with one run go; those of very many runs are never brought together, but
+their strings are sent under names of their own, after each task has set aside those that it has seen before. A run that a task has seen before is a repeat at once and not sent on,
 so a passage that is everywhere gives a row for each chunk of text, not for each of its copies.
 
 A null text is an empty one. Rows with null or repeated doc_id are allowed: their order is by
@@ -31,8 +32,8 @@ LENGTH, GRAM = 100, 24
 SPAN = LENGTH - GRAM + 1  # anchors' places in a string
 #: Bytes that are hashed at once; longer texts are cut into overlapping pieces of that size.
 PIECE = 1 << 20
-#: Runs of one bucket that are refined in one task; the strings of larger buckets are dealt out by their own names.
-RUNS = 20_000
+#: Runs of one bucket that are refined in one task; the strings of larger (hot) buckets are dealt out by their own names.
+RUNS = 1000
 
 _K1, _K2, _R = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(32)
 _BYTE = np.random.default_rng(20).integers(0, 2**64, 256, dtype=np.uint64)
@@ -170,91 +171,103 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _found(1, out[:, 0], out[:, 2], out[:, 3] >> 9, (out[:, 3] >> 9) + ((out[:, 3] >> 1) & 255))
 
 
+def _strings(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """id, start and name of every string of some runs (key, id, start, bytes), in order."""
+    sizes = np.array([len(r[3]) for r in rows])
+    _, name = names(np.frombuffer(b"".join(r[3] for r in rows), np.uint8))
+    count = sizes - LENGTH + 1
+    run = np.repeat(np.arange(len(rows)), count)
+    lead = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+    doc, start = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+    return doc[run], start[run] + lead, name[(np.cumsum(sizes) - sizes)[run] + lead]
+
+
+def _spans(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """id, first and last start of the stretches that strings, in order of id and start, make up."""
+    cut = np.flatnonzero((np.diff(start) != 1) | (np.diff(doc) != 0)) + 1
+    a, b = np.concatenate([[0], cut]), np.concatenate([cut, [len(doc)]]) - 1
+    return doc[a], start[a], start[b]
+
+
+_CONTEXT = ["key", "id", "start", "stop", "bytes"]
+_CONTEXT_SCHEMA = "key long, id long, start long, stop long, bytes binary"
+#: Runs of hot buckets whose strings are held against each other before they are sent.
+_TOGETHER = 4000
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id, start, bytes) of each listed run of a text."""
+    """The listed runs of texts with their bytes. Runs of a hot bucket give their strings instead, each under its own name.
+
+    Without bytes a row is such a string (stop -1), or a stretch of strings that another one sent from here precedes.
+    """
+
+    def rows(key: np.ndarray, doc: np.ndarray, start: np.ndarray, stop: np.ndarray, parts: list[bytes] | None = None) -> pa.RecordBatch:
+        held = pa.nulls(len(doc), pa.binary()) if parts is None else pa.array(parts, pa.binary())
+        return pa.RecordBatch.from_arrays([*map(pa.array, (key, doc, start, stop)), held], _CONTEXT)
+
+    def single(some: list[tuple]) -> Iterator[pa.RecordBatch]:
+        doc, start, name = _strings(some)
+        order = np.lexsort((start, doc, name))
+        again = np.zeros(len(name), bool)
+        again[order[1:]] = name[order[1:]] == name[order[:-1]]
+        yield rows(name[~again].view(np.int64), doc[~again], start[~again], np.full((~again).sum(), -1))
+        if again.any():
+            order = np.lexsort((start, doc))
+            doc, first, last = _spans(*(x[order][again[order]] for x in (doc, start)))
+            yield rows(_pair(doc.view(np.uint64), first.astype(np.uint64)).view(np.int64), doc, first, last)
+
+    apart: list[tuple] = []
     for batch in batches:
         for doc, text, runs in zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("runs")):
             if len(runs):
-                key, start, stop = (runs.values.field(i).to_numpy() for i in range(3))
-                parts = [text[a : b + LENGTH] for a, b in zip(start.tolist(), stop.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), doc)), pa.array(start), pa.array(parts, pa.binary())], ["key", "id", "start", "bytes"])
+                key, start, stop, hot = (runs.values.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+                parts = np.array([text[a : b + LENGTH] for a, b in zip(start.tolist(), stop.tolist())], object)
+                if (~hot).any():
+                    yield rows(key[~hot], np.full((~hot).sum(), doc), start[~hot], stop[~hot], parts[~hot].tolist())
+                apart += [(None, doc, a, x) for a, x in zip(start[hot].tolist(), parts[hot].tolist())]
+                while len(apart) >= _TOGETHER:
+                    yield from single(apart[:_TOGETHER])
+                    apart = apart[_TOGETHER:]
+    if apart:
+        yield from single(apart)
 
 
-def _refine(limit: int):
-    """Of rows sorted by (key, id, start): strings that start earlier too (kind 0), and those of buckets over the limit (kind 1, key: their name)."""
-
-    def strings(rows: list[tuple]):
-        """id, start and name of every string of some runs, in order."""
-        sizes = np.array([len(r[3]) for r in rows])
-        _, name = names(np.frombuffer(b"".join(r[3] for r in rows), np.uint8))
-        count = sizes - LENGTH + 1
-        run = np.repeat(np.arange(len(rows)), count)
-        lead = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
-        doc, start = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-        return doc[run], start[run] + lead, name[(np.cumsum(sizes) - sizes)[run] + lead]
+def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (key, id, start): strings that start earlier too (kind 0)."""
 
     def repeats(rows: list[tuple]):
-        doc, start, name = strings(rows)
+        doc, start, name = _strings(rows)
         first = np.zeros(len(name), bool)
         first[np.unique(name, return_index=True)[1]] = True
-        doc, start = doc[~first], start[~first]
-        if len(doc):
-            cut = np.flatnonzero((np.diff(start) != 1) | (np.diff(doc) != 0)) + 1
-            a, b = np.concatenate([[0], cut]), np.concatenate([cut, [len(doc)]]) - 1
-            yield _found(0, doc[a], doc[a], start[a], start[b])
-
-    def single(rows: list[tuple]):
-        for at in range(0, len(rows), 1000):
-            doc, start, name = strings(rows[at : at + 1000])
-            yield _found(1, name.view(np.int64), doc, start, start)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready: list[tuple] = []  # rows of whole buckets
-        held: list[tuple] = []  # rows of the bucket that has not ended
-        large = None
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and row[0] != held[0][0]:
-                    if held[0][0] == large:
-                        yield from single(held)
-                    else:
-                        ready += held
-                    held = []
-                    if len(ready) > 4000:
-                        yield from repeats(ready)
-                        ready = []
-                if row[0] == large:
-                    held.append(row)
-                    if len(held) >= 1000:
-                        yield from single(held)
-                        held = []
-                    continue
-                held.append(row)
-                if len(held) > limit:
-                    large = row[0]
-                    yield from single(held)
-                    held = []
-        if held and held[0][0] == large:
-            yield from single(held)
-            held = []
-        if ready + held:
-            yield from repeats(ready + held)
-
-    return run
-
-
-def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of single strings sorted by (name, id, start) all but the first of each name."""
-    last = None
+        if not first.all():
+            doc, start, stop = _spans(doc[~first], start[~first])
+            yield _found(0, doc, doc, start, stop)
+
+    ready: list[tuple] = []  # rows of whole buckets
+    held: list[tuple] = []  # rows of the bucket that has not ended
+    last = None  # the last name of a single string
     for batch in batches:
-        key = batch.column("key").to_numpy()
-        before = np.concatenate([[key[0] + 1 if last is None else last], key[:-1]]) if len(key) else key
-        again = key == before
-        if len(key):
-            last = key[-1]
-        if again.any():
-            doc, start = batch.column("id").to_numpy()[again], batch.column("start").to_numpy()[again]
-            yield _found(0, doc, doc, start, start)
+        whole = batch.column("bytes").is_valid().to_numpy(zero_copy_only=False)
+        key, doc, start, stop = (batch.column(i).to_numpy() for i in range(4))
+        sure, alone = ~whole & (stop >= 0), ~whole & (stop < 0)
+        if sure.any():
+            yield _found(0, doc[sure], doc[sure], start[sure], stop[sure])
+        if alone.any():
+            name = key[alone]
+            again = np.concatenate([[last is not None and name[0] == last], name[1:] == name[:-1]])
+            last = name[-1]
+            if again.any():
+                yield _found(0, doc[alone][again], doc[alone][again], start[alone][again], start[alone][again])
+        for row in zip(*(x[whole].tolist() for x in (key, doc, start)), batch.column("bytes").drop_null().to_pylist()):
+            if held and row[0] != held[0][0]:
+                ready += held
+                held = []
+                if len(ready) > 4000:
+                    yield from repeats(ready)
+                    ready = []
+            held.append(row)
+    if ready + held:
+        yield from repeats(ready + held)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,14 +307,14 @@ def remove(docs: DataFrame, runs: int = RUNS) -> DataFrame:
     texts = _numbered(docs)
     sent = texts.where(F.octet_length("text") >= LENGTH).select("id", "text").mapInArrow(_runs, _RUN_SCHEMA)
     compared = written(sent.repartition("key").sortWithinPartitions("key", "u", "id", "place").mapInArrow(_compare, _FOUND_SCHEMA))
-    listed = compared.where("kind = 1").groupBy("id").agg(F.collect_list(F.struct("key", "start", "stop")).alias("runs"))
+    several = compared.where("kind = 1")
+    # buckets of very many runs are not brought together: their strings are dealt out by their own names
+    hot = written(several.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > runs).select("key", F.lit(True).alias("hot")))
+    listed = several.join(hot, "key", "left").groupBy("id").agg(F.collect_list(F.struct("key", "start", "stop", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs"))
     # both joins read one shuffle of the texts
     whole = texts.select("id", "text", "doc_id")
-    around = whole.join(listed.hint("shuffle_hash"), "id").select("id", "text", "runs").mapInArrow(_contexts, "key long, id long, start long, bytes binary")
-    refined = written(around.repartition("key").sortWithinPartitions("key", "id", "start").mapInArrow(_refine(runs), _FOUND_SCHEMA))
-    single = refined.where("kind = 1").select("key", "id", "start")
-    found = compared.where("kind = 0").union(refined.where("kind = 0"))
-    if not single.isEmpty():
-        found = found.union(single.repartition("key").sortWithinPartitions("key", "id", "start").mapInArrow(_later, _FOUND_SCHEMA))
+    around = whole.join(listed.hint("shuffle_hash"), "id").select("id", "text", "runs").mapInArrow(_contexts, _CONTEXT_SCHEMA)
+    refined = written(around.repartition("key").sortWithinPartitions("key", "id", "start").mapInArrow(_refine, _FOUND_SCHEMA))
+    found = compared.where("kind = 0").union(refined)
     gone = found.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
     return whole.join(gone.hint("shuffle_hash"), "id", "left").select("doc_id", "text", "runs").mapInArrow(_cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")

@@ -52,7 +52,7 @@ def texts(seed):
     return out + out[-3:]
 
 
-@pytest.mark.parametrize("runs, piece", [(20_000, 1 << 20), (3, 300)])
+@pytest.mark.parametrize("runs, piece", [(20_000, 1 << 20), (0, 1 << 20), (3, 300)])
 def test_edges(spark, monkeypatch, runs, piece):
     """Also with buckets over the limit, and texts that are cut into pieces."""
     monkeypatch.setattr(repeats, "PIECE", piece)
@@ -69,6 +69,19 @@ def test_edges(spark, monkeypatch, runs, piece):
     assert result(df, runs=runs) == brute(rows)
 
 
+def test_hot_anchor(spark):
+    """A passage that very many texts share, each with its own surroundings and some with a cut passage."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = word(160)
+    rows = [(i, word(rng.randrange(90)) + passage[rng.choice([0, 0, 30]) :] + word(rng.randrange(90))) for i in range(2500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = brute(rows)
+    assert sum(r[2] for r in want) > 2400 * 130
+    for runs in (repeats.RUNS, 100_000):
+        assert result(df, runs=runs) == want
+
+
 def test_repeated_and_null_ids(spark):
     t = texts(9)[8:30]
     rows = [(i // 3 if i % 5 else None, x) for i, x in enumerate(t)]
