@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +21,20 @@ def segment_plain(col: Column | str) -> Column:
     return F.coalesce(F.regexp_extract_all(c, F.lit(C.NO_DICTIONARY), F.lit(0)), F.array().cast(EMPTY))
 
 
+def _udf(sent, safe: bool, compat: str = "corrected"):
+    """The core over Arrow batches: the tokens of all texts of a batch in one flat array."""
+
+    @F.arrow_udf(EMPTY)
+    def tokens(texts: pa.Array) -> pa.Array:
+        words, flat, ends = words_of(sent), [], [0]
+        for t in texts.to_pylist():
+            flat += segment_text(t, words, safe, compat)
+            ends.append(len(flat))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.string()))
+
+    return tokens
+
+
 def segment(col: Column | str, dict_name: str, safe: bool = False, parallel: bool = False, compat: str = "corrected", spark: SparkSession | None = None) -> Column:
     """Tokens of a text as an array; NULL and empty text give an empty array.
 
@@ -30,11 +44,7 @@ def segment(col: Column | str, dict_name: str, safe: bool = False, parallel: boo
     spark = spark or SparkSession.getActiveSession()
     sent = registry(spark).broadcast(dict_name)
 
-    @F.pandas_udf(EMPTY)
-    def tokens(texts: pd.Series) -> pd.Series:
-        words = words_of(sent)
-        return texts.map(lambda t: segment_text(t, words, safe, compat))
-
+    tokens = _udf(sent, safe, compat)
     c = F.col(col) if isinstance(col, str) else col
     return F.coalesce(tokens(c), F.array().cast(EMPTY))
 
@@ -55,16 +65,8 @@ def register_functions(spark: SparkSession, dict_name: str) -> None:
     """SQL functions thai_segment(text), thai_segment_safe(text) and the table function thai_tokens(text)."""
     sent = registry(spark).broadcast(dict_name)
 
-    def batch(safe):
-        @F.pandas_udf(EMPTY)
-        def tokens(texts: pd.Series) -> pd.Series:
-            words = words_of(sent)
-            return texts.map(lambda t: segment_text(t, words, safe))
-
-        return tokens
-
-    spark.udf.register("thai_segment", batch(False))
-    spark.udf.register("thai_segment_safe", batch(True))
+    spark.udf.register("thai_segment", _udf(sent, False))
+    spark.udf.register("thai_segment_safe", _udf(sent, True))
 
     @F.udtf(returnType="pos int, token string, start int, end int", useArrow=True)
     class ThaiTokens:

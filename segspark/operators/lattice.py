@@ -32,6 +32,9 @@ class Words:
             lengths.setdefault(w[0], set()).add(len(w))
         self._lengths = {c: sorted(n) for c, n in lengths.items()}
 
+    def starts(self, char: str) -> bool:
+        return char in self._lengths
+
     def ends(self, text: str, at: int):
         for n in self._lengths.get(text[at], ()):
             if at + n <= len(text) and text[at : at + n] in self.words:
@@ -88,14 +91,19 @@ def cut(text: str, words: Words) -> list[str]:
             path = _shortest(edges, done, open_ends[0])
             out += [text[a:b] for a, b in zip(path, path[1:])]
             done, spent = open_ends[0], 0
+            seen = {done}
             edges.clear()
         elif not open_ends:
-            m = _PLAIN.match(text, at)
-            done = m.end() if m else _unknown_end(text, at, allowed, words)
-            out.append(text[at:done])
-            spent += 1  # not reset: a long stretch of such tokens uses up the cap
-            seen.add(done)
-            heapq.heappush(open_ends, done)
+            # tokens outside the dictionary, up to where a word may start
+            while True:
+                m = _PLAIN.match(text, at)
+                done = m.end() if m else _unknown_end(text, at, allowed, words)
+                out.append(text[at:done])
+                spent += 1  # not reset: a long stretch of such tokens uses up the cap
+                if done == size or words.starts(text[done]):
+                    break
+                at = done
+            seen, open_ends = {done}, [done]
     return out
 
 
