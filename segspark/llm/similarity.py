@@ -5,7 +5,8 @@ their rarest shingles, as many as the similarity takes, whatever order ranks the
 counters of a fixed size, which decide on work only. What can be similar enough by sizes and places is
 verified on whole sets, and only between nodes that no known link connects yet (their roots differ).
 
-Keys with many rows are dealt out in blocks. A key whose block has more open pairs than a few for each
+Keys with many rows are dealt out in blocks; the rows of the root that most of them have meet only blocks of
+other rows, so that a large group of copies is not held against itself. A key whose block has more open pairs than a few for each
 row sends its rows with their sets to one place, where all its pairs are verified and a spanning forest of
 the links comes out: so what is shuffled grows with rows, not with pairs.
 """
@@ -141,21 +142,30 @@ def met(rows: DataFrame) -> DataFrame:
 
 
 def rooted(rows: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """(key, node, place, root, k) of the keys that have several roots; k is the number of their blocks. Without roots each node is its own."""
+    """(key, node, place, root, k, hub, strays) of the keys that have several roots; k is the number of their blocks.
+
+    Without roots each node is its own. With them, a key of several blocks has a hub, the root of most of its rows: the other
+    rows make the first blocks, ``strays`` in number, and those of the hub the rest. Otherwise hub is null.
+    """
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum(F.shiftright("place", 32)) / F.lit(BLOCK_SHINGLES))).cast("int")
     if roots is None:
-        known = rows.select("*", F.col("node").alias("root"))
-    else:
-        known = written(rows.join(roots, "node", "left").select("key", "node", "place", F.coalesce("root", "node").alias("root")))
-    parts = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum(F.shiftright("place", 32)) / F.lit(BLOCK_SHINGLES))).cast("int")
-    keys = written(known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), parts.alias("k")).where("lo < hi").select("key", "k"))
-    return known.join(keys, "key")
+        keys = written(rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), blocks.alias("k")).where("lo < hi").select("key", "k"))
+        return rows.select("*", F.col("node").alias("root")).join(keys, "key").withColumns({"hub": F.lit(None).cast("long"), "strays": F.col("k")})
+    known = written(rows.join(roots, "node", "left").select("key", "node", "place", F.coalesce("root", "node").alias("root")))
+    several = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), blocks.alias("k")).where("lo < hi").select("key", "k")
+    keys = written(several)
+    hubs = known.join(keys.where("k > 1"), "key").groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("hub"))
+    parted = known.join(keys.where("k > 1"), "key").join(hubs, "key").groupBy("key", "hub", (F.col("root") == F.col("hub")).alias("mass")).agg(blocks.alias("k"))
+    parts = parted.groupBy("key", "hub").agg(F.sum("k").cast("int").alias("k"), F.sum(F.when(F.col("mass"), 0).otherwise(F.col("k"))).cast("int").alias("strays"))
+    one = keys.where("k = 1").select("key", F.lit(None).cast("long").alias("hub"), "k", F.col("k").alias("strays"))
+    return known.join(written(one.union(parts.select("key", "hub", "k", "strays"))), "key")
 
 
 def candidates(rows: DataFrame, similarity: float, centres: bool) -> DataFrame:
     """(kind, key, i, j, a, b) of the pairs a, b (kind 0) of rows with a common key and different roots that can be similar enough.
 
     With ``centres`` each row is held against CENTRES rows of its own block only. Without, against all rows of the
-    key in pairs of blocks (i, j); of a pair of blocks with too many pairs come the nodes a instead (kind 1, b null).
+    key in pairs of blocks (i, j), but for pairs of the hub's blocks; of a pair of blocks with too many pairs come the nodes a instead (kind 1, b null).
     """
     by = ["key", "i", "j"]
     names = ["kind", *by, "a", "b"]
@@ -220,12 +230,15 @@ def candidates(rows: DataFrame, similarity: float, centres: bool) -> DataFrame:
 
         yield from by_runs(batches, by, emit)
 
-    own = F.pmod(F.xxhash64("node", "key"), F.col("k")).cast("long")
+    name, mass = F.xxhash64("node", "key"), F.coalesce(F.col("root") == F.col("hub"), F.lit(False))
+    own = F.when(mass, F.col("strays") + F.pmod(name, F.greatest(F.col("k") - F.col("strays"), F.lit(1)))).otherwise(F.pmod(name, F.col("strays"))).cast("long")
     placed = rows.withColumn("own", own)
     if centres:
         dealt = placed.select("key", F.col("own").alias("i"), F.col("own").alias("j"), "node", "place", "root")
     else:
-        dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("key", F.least("own", "other").cast("long").alias("i"), F.greatest("own", "other").cast("long").alias("j"), "node", "place", "root")
+        # rows of one root aren't held against each other: those of the hub meet the blocks of the others only
+        met_by = F.when(mass, F.col("strays")).otherwise(F.col("k"))
+        dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), met_by - 1))).select("key", F.least("own", "other").cast("long").alias("i"), F.greatest("own", "other").cast("long").alias("j"), "node", "place", "root")
     return dealt.repartition(*by).sortWithinPartitions(*by, F.xxhash64("node", "key"), "node").mapInArrow(tidy(run), "kind int, key long, i long, j long, a long, b long")
 
 

@@ -75,6 +75,17 @@ def test_groups_of_near_copies(spark):
     assert kept(spark, rows) == kept_by_all_pairs(rows)
 
 
+@pytest.mark.parametrize("roots", [[0] * 90 + [1] * 3 + [2], [0] * 30 + list(range(1, 40)), list(range(50)), [0] * 20 + [1] * 20])
+def test_pairs_of_blocks(spark, monkeypatch, roots):
+    """All pairs of rows of a key with different roots are candidates, whether most rows have one root or none."""
+    monkeypatch.setattr(similarity, "BLOCK", 8)
+    monkeypatch.setattr(similarity, "PAIRS", 1 << 20)
+    rows = spark.createDataFrame([(5, i, 10 << 32) for i in range(len(roots))], "key long, node long, place long")
+    known = spark.createDataFrame([(i, 1000 + r) for i, r in enumerate(roots)], "node long, root long")
+    got = [(r.a, r.b) for r in similarity.candidates(similarity.rooted(rows, known), 0.8, False).collect()]
+    assert set(got) == {(i, j) for j in range(len(roots)) for i in range(j) if roots[i] != roots[j]}
+
+
 def test_forest_of_a_block():
     """The links of a block connect what all its similar pairs connect."""
     rng = np.random.default_rng(3)
