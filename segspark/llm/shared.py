@@ -49,10 +49,19 @@ def scratch():
         _scratch.reset(before)
 
 
+#: Spark's setting that removes the shuffle files of a query at its end, not when the driver happens to collect garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, keep: bool = False) -> DataFrame:
-    """The rows as a table in the shared folder: cuts the lineage, and is whole after the loss of executors."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """The rows as a table in the shared folder: cuts the lineage, and is whole after the loss of executors. Its shuffle files go."""
+    path, conf = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}", df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._path = path
     if not keep and _scratch.get() is not None:
