@@ -13,6 +13,8 @@ from segspark.operators.dictionary import registry, words_of
 from segspark.operators.lattice import segment_text
 
 EMPTY = "array<string>"
+#: So many tokens at most, besides those of one text, are Python strings at a time; more go into Arrow's memory. Decides on memory only.
+HELD_TOKENS = 100_000
 
 
 def segment_plain(col: Column | str) -> Column:
@@ -22,19 +24,28 @@ def segment_plain(col: Column | str) -> Column:
 
 
 def _udf(sent, safe: bool, compat: str = "corrected"):
-    """The core over Arrow batches: the tokens of all texts of a batch in one flat array."""
+    """The core over Arrow batches."""
 
     @F.arrow_udf(EMPTY)
     def tokens(texts: pa.Array) -> pa.Array:
-        words, flat, ends = words_of(sent), [], [0]
-        for t in texts.to_pylist():
-            flat += segment_text(t, words, safe, compat)
-            ends.append(len(flat))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.string()))
+        return _batch(texts, words_of(sent), safe, compat)
 
     return tokens
 
 
+def _batch(texts: pa.Array, words, safe: bool, compat: str = "corrected", held: int = HELD_TOKENS) -> pa.ListArray:
+    """The tokens of all texts of a batch in one flat array, which is built in parts."""
+    parts, flat, ends, done = [], [], [0], 0
+    for t in texts:
+        flat += segment_text(t.as_py(), words, safe, compat)
+        ends.append(done + len(flat))
+        if len(flat) >= held:
+            parts.append(pa.array(flat, pa.string()))
+            done, flat = ends[-1], []
+    parts.append(pa.array(flat, pa.string()))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(parts))
+
+
 def segment(col: Column | str, dict_name: str, safe: bool = False, parallel: bool = False, compat: str = "corrected", spark: SparkSession | None = None) -> Column:
     """Tokens of a text as an array; NULL and empty text give an empty array.
 

@@ -1,12 +1,15 @@
 """Columns, dictionaries, SQL functions and streams."""
 
 import random
+import tracemalloc
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from segspark import cluster_ends, clusters, load_dict, normalize, register_functions, segment
-from segspark.functions.segment import segment_plain, token_offsets
+from segspark.functions.segment import _udf, segment_plain, token_offsets
 from segspark.operators import dictionary as D
 from segspark.operators.lattice import Words, segment_text
 from segspark.queries import GOLDEN, MINI_TH
@@ -86,6 +89,20 @@ def test_segment(spark):
     assert [(r.token, r.start, r.end) for r in offsets] == [("ไข่", 0, 3), ("คน", 3, 5), ("2021", 5, 9)]
 
 
+def test_batch_holds_few_tokens_as_python_strings(spark):
+    """A batch of 300,000 tokens took over 10 MB as Python strings; the same tokens as text by text."""
+    words = ["the", "der"]
+    texts = ["the ab1,2 x-y\n" * 500, None, "", "der" * 700, *["a b" * 100_000] * 2, *["the "] * 3]
+    tokens = _udf(SimpleNamespace(value=words), False).func
+    assert tokens(pa.array(texts, pa.string())).to_pylist() == [segment_text(t, Words(words)) for t in texts]
+    many = pa.array(["alpha beta " * 500] * 150)
+    tracemalloc.start()
+    got = tokens(many)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got.flatten()) == 300_000 and peak < 7e6, peak
+
+
 def test_plain_equals_core(spark):
     texts = ["a\r\nb\n\n\tc\rd", "x-y 1,234.50,", "ไข่คน2021", "๑๒,๓ ab\U0001f600c", "!!\r"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(segment_plain("t").alias("a")).collect()
