@@ -68,8 +68,10 @@ def expand(rule: str) -> str:
 _TAIL = f"{CONSONANT}{CONSONANT}?[\u0e34\u0e38\u0e39]?"
 _AHEAD = {5: f"{expand(_SPLITS[0])}{_TAIL}(?={KARAN})", 6: f"{expand(_SPLITS[1])}{_TAIL}(?={KARAN})"}
 _CLUSTERS = "|".join(p for i, r in enumerate(CLUSTER_RULES) for p in ([_AHEAD[i]] if i in _AHEAD else []) + [expand(r)])
-#: One pattern for all clusters; any other character is a cluster of its own.
-CLUSTER = f"(?s){_CLUSTERS}|."
+#: A character that a cluster of several characters may start with.
+CLUSTER_START = "[\u0e01-\u0e2e\u0e40-\u0e44]"
+#: One pattern for all clusters; any other character is a cluster of its own, which most are told by at once.
+CLUSTER = f"(?s)[^{CLUSTER_START[1:]}|{_CLUSTERS}|."
 #: The same without look-ahead, for engines that have none; clusters that fit CLUSTER_SPLIT are cut before their last character.
 CLUSTER_PLAIN = "(?s)" + "|".join(map(expand, CLUSTER_RULES)) + "|."
 CLUSTER_SPLIT = "^(?:" + "|".join(f"{expand(s)}{_TAIL}{KARAN}" for s in _SPLITS) + ")$"

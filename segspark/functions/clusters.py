@@ -11,6 +11,11 @@ from pyspark.sql.types import ArrayType, IntegerType
 from segspark import charsets as C
 
 
+def _single(c: Column) -> Column:
+    """Whether each character of a text is a cluster of its own, since none starts a longer one. Not for empty texts."""
+    return (F.length(c) > 0) & F.is_valid_utf8(c) & ~F.rlike(c, F.lit(C.CLUSTER_START))
+
+
 def clusters(col: Column | str) -> Column:
     """The clusters of a text in order; they join back to the text. NULL gives an empty array."""
     c = F.col(col) if isinstance(col, str) else col
@@ -33,11 +38,13 @@ def ends_of(tokens: Column) -> Column:
 
 
 def cluster_ends(col: Column | str) -> Column:
-    """End offsets of the clusters, in code points."""
-    return ends_of(clusters(col))
+    """End offsets of the clusters, in code points: a sequence where each character is a cluster, which needs no Python."""
+    c = F.col(col) if isinstance(col, str) else col
+    longer = ends_of(F.when(_single(c), F.array().cast("array<string>")).otherwise(clusters(c)))
+    return F.when(_single(c), F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)))).otherwise(longer)
 
 
 def cluster_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (id, pos, cluster, end): offsets are made within a text, so nothing is shuffled."""
-    found = df.select(F.col(id_col), clusters(text_col).alias("clusters")).select(id_col, "clusters", ends_of(F.col("clusters")).alias("ends"))
+    found = df.select(F.col(id_col), clusters(text_col).alias("clusters"), cluster_ends(text_col).alias("ends"))
     return found.select(id_col, F.posexplode(F.arrays_zip("clusters", "ends")).alias("pos", "c")).select(id_col, "pos", F.col("c.clusters").alias("cluster"), F.col("c.ends").alias("end"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from segspark import charsets as C
 from segspark.functions import normalize as N
-from segspark.functions.clusters import cluster_rows, clusters
+from segspark.functions.clusters import cluster_ends, clusters
 from segspark.functions.segment import register_functions, segment, segment_plain, token_offsets, token_rows
 from segspark.operators import dictionary as D
 from segspark.operators.dictionary import load_dict
@@ -318,7 +318,7 @@ QUERIES = {
     "dict_size": lambda s, d: D.size(_stored(s)),
     "dict_prefixes": dict_prefixes,
     "tcc_clusters": lambda s, d: _texts(s, d).select("text_id", F.posexplode(clusters("text")).alias("pos", "cluster")),
-    "tcc_ends": lambda s, d: cluster_rows(_texts(s, d), "text_id", "text").select("text_id", "end"),
+    "tcc_ends": lambda s, d: _texts(s, d).select("text_id", F.explode(cluster_ends("text")).alias("end")),
     "seg_nodict": lambda s, d: token_rows(_documents(s, d), "text_id", segment_plain("text")),
     "seg_dict_latin": seg_dict_latin,
     "seg_thai_golden": seg_thai_golden,

@@ -1,14 +1,18 @@
 """Columns, dictionaries, SQL functions and streams."""
 
 import random
+import re
 import tracemalloc
+from itertools import accumulate
 from types import SimpleNamespace
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from segspark import charsets as C
 from segspark import cluster_ends, clusters, load_dict, normalize, register_functions, segment
+from segspark.functions.clusters import cluster_rows
 from segspark.functions.segment import _udf, segment_plain, token_offsets
 from segspark.operators import dictionary as D
 from segspark.operators.lattice import Words, segment_text
@@ -50,6 +54,26 @@ def test_clusters(spark):
     assert [(r.c, r.e) for r in df.select(clusters("t").alias("c"), cluster_ends("t").alias("e")).collect()] == [(["เรียนต", "์"], [6, 7]), ([], []), ([], [])]
 
 
+def test_ends_of_texts_without_longer_clusters_need_no_clusters(spark, monkeypatch):
+    monkeypatch.setattr(C, "CLUSTER", "no such text")
+    rows = spark.createDataFrame([("a\u00e9\U0001f600 \u0e32\n",), ("",), (None,)], "t string").select(cluster_ends("t").alias("e")).collect()
+    assert [r.e for r in rows] == [[1, 2, 3, 4, 5, 6], [], []]
+
+
+def test_clusters_and_ends_on_random_text(spark):
+    """Against the pattern of the SQL, on texts with and without Thai."""
+    rng = random.Random(5)
+    thai = [*"กรขเแโาำะัิีุู็์่้ำ ๑12,a\n฿\U0001f600", "กรรข์ ็", "เริ", "เกียก์"]
+    texts = ["".join(rng.choices(p, k=rng.randint(0, 30))) for p in (thai, "ab \u00e9\u0301\U0001f600\r\n๑ๆ่") for _ in range(500)] + [None]
+    want = [[y for x in re.findall(C.CLUSTER_PLAIN, t or "") for y in ([x[:-1], x[-1]] if re.search(C.CLUSTER_SPLIT, x) else [x])] for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = df.select("i", clusters("t").alias("c"), cluster_ends("t").alias("e")).orderBy("i").collect()
+    assert [r.e for r in got] == [list(accumulate(map(len, r.c))) for r in got]
+    assert [r.c for r in got] == want
+    rows = sorted(map(tuple, cluster_rows(df, "i", "t").collect()))
+    assert rows == [(r.i, p, c, e) for r in got for p, (c, e) in enumerate(zip(r.c, r.e))]
+
+
 def test_dictionary_steps(spark):
     words = stored(from_words(spark, ["ศาล"]))
     sizes = []
