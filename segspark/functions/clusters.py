@@ -19,7 +19,8 @@ def _single(c: Column) -> Column:
 def clusters(col: Column | str) -> Column:
     """The clusters of a text in order; they join back to the text. NULL gives an empty array."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(F.regexp_extract_all(c, F.lit(C.CLUSTER), F.lit(0)), F.array().cast("array<string>"))
+    found = F.when(_single(c), F.split(c, "")).otherwise(F.regexp_extract_all(c, F.lit(C.CLUSTER), F.lit(0)))
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 @F.arrow_udf(ArrayType(IntegerType()))

@@ -60,6 +60,12 @@ def test_ends_of_texts_without_longer_clusters_need_no_clusters(spark, monkeypat
     assert [r.e for r in rows] == [[1, 2, 3, 4, 5, 6], [], []]
 
 
+def test_texts_without_longer_clusters_need_no_pattern(spark, monkeypatch):
+    monkeypatch.setattr(C, "CLUSTER", "no such text")
+    rows = spark.createDataFrame([("a\u00e9\U0001f600 \u0e32\n",), ("",), (None,)], "t string").select(clusters("t").alias("c")).collect()
+    assert [r.c for r in rows] == [[*"a\u00e9\U0001f600 \u0e32\n"], [], []]
+
+
 def test_clusters_and_ends_on_random_text(spark):
     """Against the pattern of the SQL, on texts with and without Thai."""
     rng = random.Random(5)
