@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from segspark import charsets as C
 from segspark.functions import normalize as N
 from segspark.functions.clusters import cluster_ends, clusters
-from segspark.functions.segment import register_functions, segment, segment_plain, token_offsets, token_rows
+from segspark.functions.plain import plain_offsets
+from segspark.functions.segment import register_functions, segment, segment_plain, token_rows
 from segspark.operators import dictionary as D
 from segspark.operators.dictionary import load_dict
 from segspark.plans import analytics as A
@@ -239,7 +240,7 @@ def seg_safe_thai(s: SparkSession, d: str) -> DataFrame:
 
 
 def seg_offsets(s: SparkSession, d: str) -> DataFrame:
-    return token_offsets(_documents(s, d), "text_id", segment_plain("text"))
+    return plain_offsets(_documents(s, d), "text_id", "text", segment_plain("text"))
 
 
 def seg_sql(s: SparkSession, d: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from segspark import charsets as C
 from segspark import cluster_ends, clusters, load_dict, normalize, register_functions, segment
 from segspark.functions.clusters import cluster_rows
+from segspark.functions.plain import pieces_of, plain_offsets
 from segspark.functions.segment import _udf, segment_plain, token_offsets
 from segspark.operators import dictionary as D
 from segspark.operators.lattice import Words, segment_text
@@ -149,6 +150,29 @@ def test_plain_equals_core_on_random_text(spark):
         assert r.a == segment_text(texts[r.i], Words([])), texts[r.i][:50]
 
 
+def test_pieces_equal_core_on_random_text():
+    """Texts side by side don't touch each other; also in batches that are cut anywhere."""
+    rng = random.Random(3)
+    parts = [*"ab-Z19,.  \t\r\n!\u00e9\U0001f600\x00\u4e2d", "\r\n", "1,2", "1.", ".5", "\r\r\n"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(4000)] + [None, "1,", "2", ",3", "\r", "\n", ""]
+    for array, held in ((pa.array(texts), 1 << 20), (pa.array(texts), 1), (pa.array(["x\r", *texts])[1:], 100)):
+        got = pieces_of(array, held).to_pylist()
+        for t, pieces in zip(texts, got, strict=True):
+            want = segment_text(t, Words([]))
+            assert pieces == [{"token": w, "end": e} for w, e in zip(want, accumulate(map(len, want)))], t
+    assert pieces_of(pa.array([], pa.string())).to_pylist() == [] and pieces_of(pa.array([None], pa.string())).to_pylist() == [[]]
+
+
+def test_plain_offsets(spark, monkeypatch):
+    """Texts with and without Thai; those without need no pattern."""
+    texts = ["a\u00e9 1,2\r\nb", "", None, "ไข่คน2021 ab", "๑๒,๓ x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    want = sorted(map(tuple, token_offsets(df, "i", segment_plain("t")).collect()))
+    assert sorted(map(tuple, plain_offsets(df, "i", "t", segment_plain("t")).collect())) == want
+    monkeypatch.setattr(C, "NO_DICTIONARY", "no such text")
+    assert sorted(map(tuple, plain_offsets(df, "i", "t", segment_plain("t")).collect())) == [r for r in want if r[0] == 0]
+
+
 def test_sql_functions(spark):
     D.load_words(spark, MINI_TH, "th_sql")
     register_functions(spark, "th_sql")
