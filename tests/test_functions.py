@@ -14,7 +14,7 @@ from segspark import charsets as C
 from segspark import cluster_ends, clusters, load_dict, normalize, register_functions, segment
 from segspark.functions.clusters import cluster_rows
 from segspark.functions.plain import pieces_of, plain_offsets
-from segspark.functions.segment import _udf, segment_plain, token_offsets
+from segspark.functions.segment import _batch, _udf, segment_plain, token_offsets
 from segspark.operators import dictionary as D
 from segspark.operators.lattice import Words, segment_text
 from segspark.queries import GOLDEN, MINI_TH
@@ -134,6 +134,15 @@ def test_batch_holds_few_tokens_as_python_strings(spark):
     assert len(got.flatten()) == 300_000 and peak < 7e6, peak
 
 
+def test_batch_in_parts_is_lossless(spark):
+    """Parts of any size give the same tokens, which join back to the texts."""
+    words, texts = Words(["the", "der"]), ["the ab1,2 x-y\n" * 5, None, "", "der" * 7, "ไข่คน2021"]
+    for safe in (False, True):
+        got = [_batch(pa.array(texts), words, safe, held=n).to_pylist() for n in (1, 5, 1000)]
+        assert got[0] == got[1] == got[2] == [segment_text(t, words, safe) for t in texts]
+        assert ["".join(t) for t in got[0]] == [t or "" for t in texts]
+
+
 def test_plain_equals_core(spark):
     texts = ["a\r\nb\n\n\tc\rd", "x-y 1,234.50,", "ไข่คน2021", "๑๒,๓ ab\U0001f600c", "!!\r"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(segment_plain("t").alias("a")).collect()
