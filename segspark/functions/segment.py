@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +15,8 @@ from segspark.operators.dictionary import registry, words_of
 from segspark.operators.lattice import segment_text
 
 EMPTY = "array<string>"
-#: So many tokens at most, besides those of one text, are Python strings at a time; more go into Arrow's memory. Decides on memory only.
-HELD_TOKENS = 100_000
+#: So many characters of text, besides one text, are Python strings or tokens in Arrow's memory at a time. Decides on memory only.
+HELD_CHARS = 250_000
 
 
 def segment_plain(col: Column | str) -> Column:
@@ -24,7 +26,7 @@ def segment_plain(col: Column | str) -> Column:
 
 
 def _udf(sent, safe: bool, compat: str = "corrected"):
-    """The core over Arrow batches."""
+    """The core over whole Arrow batches."""
 
     @F.arrow_udf(EMPTY)
     def tokens(texts: pa.Array) -> pa.Array:
@@ -33,17 +35,36 @@ def _udf(sent, safe: bool, compat: str = "corrected"):
     return tokens
 
 
-def _batch(texts: pa.Array, words, safe: bool, compat: str = "corrected", held: int = HELD_TOKENS) -> pa.ListArray:
-    """The tokens of all texts of a batch in one flat array, which is built in parts."""
-    parts, flat, ends, done = [], [], [0], 0
+def _udf_in_parts(sent, safe: bool, compat: str = "corrected"):
+    """The core over Arrow batches. Tokens leave in parts of a batch, so those of a whole batch are never held."""
+
+    @F.arrow_udf(EMPTY)
+    def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield from _parts(texts, words_of(sent), safe, compat)
+
+    return tokens
+
+
+def _parts(texts: pa.Array, words, safe: bool, compat: str = "corrected", held: int = HELD_CHARS):
+    """The tokens of all texts of a batch, in arrays for some texts each."""
+    flat, ends, chars = [], [0], 0
     for t in texts:
-        flat += segment_text(t.as_py(), words, safe, compat)
-        ends.append(done + len(flat))
-        if len(flat) >= held:
-            parts.append(pa.array(flat, pa.string()))
-            done, flat = ends[-1], []
-    parts.append(pa.array(flat, pa.string()))
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(parts))
+        text = t.as_py()
+        flat += segment_text(text, words, safe, compat)
+        ends.append(len(flat))
+        chars += len(text or "")
+        if chars >= held:
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.string()))
+            flat, ends, chars = [], [0], 0
+    if len(ends) > 1:
+        yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.string()))
+
+
+def _batch(texts: pa.Array, words, safe: bool, compat: str = "corrected", held: int = HELD_CHARS) -> pa.ListArray:
+    """The tokens of all texts of a batch in one array."""
+    parts = list(_parts(texts, words, safe, compat, held))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.string()))
 
 
 def segment(col: Column | str, dict_name: str, safe: bool = False, parallel: bool = False, compat: str = "corrected", spark: SparkSession | None = None) -> Column:
@@ -55,7 +76,7 @@ def segment(col: Column | str, dict_name: str, safe: bool = False, parallel: boo
     spark = spark or SparkSession.getActiveSession()
     sent = registry(spark).broadcast(dict_name)
 
-    tokens = _udf(sent, safe, compat)
+    tokens = _udf_in_parts(sent, safe, compat)
     c = F.col(col) if isinstance(col, str) else col
     return F.coalesce(tokens(c), F.array().cast(EMPTY))
 
@@ -76,8 +97,8 @@ def register_functions(spark: SparkSession, dict_name: str) -> None:
     """SQL functions thai_segment(text), thai_segment_safe(text) and the table function thai_tokens(text)."""
     sent = registry(spark).broadcast(dict_name)
 
-    spark.udf.register("thai_segment", _udf(sent, False))
-    spark.udf.register("thai_segment_safe", _udf(sent, True))
+    spark.udf.register("thai_segment", _udf_in_parts(sent, False))
+    spark.udf.register("thai_segment_safe", _udf_in_parts(sent, True))
 
     @F.udtf(returnType="pos int, token string, start int, end int", useArrow=True)
     class ThaiTokens:

@@ -9,12 +9,13 @@ from types import SimpleNamespace
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from segspark import charsets as C
 from segspark import cluster_ends, clusters, load_dict, normalize, register_functions, segment
 from segspark.functions.clusters import cluster_rows
 from segspark.functions.plain import pieces_of, plain_offsets
-from segspark.functions.segment import _batch, _udf, segment_plain, token_offsets
+from segspark.functions.segment import HELD_CHARS, _batch, _udf, _udf_in_parts, segment_plain, token_offsets
 from segspark.operators import dictionary as D
 from segspark.operators.lattice import Words, segment_text
 from segspark.queries import GOLDEN, MINI_TH
@@ -143,6 +144,27 @@ def test_batch_in_parts_is_lossless(spark):
         assert ["".join(t) for t in got[0]] == [t or "" for t in texts]
 
 
+def test_tokens_leave_in_parts_of_a_batch(spark):
+    """A worker held the tokens of a whole batch, 9 MB here; now those of a part, in segment and in the SQL functions."""
+    words, texts = ["the", "der"], [*["alpha beta " * 500] * 300, None, "", "der" * 200_000, *["the ab1,2"] * 3, *[None] * 5]
+    tokens = _udf_in_parts(SimpleNamespace(value=words), False).func
+    sizes, got = [], []
+    for part in tokens(iter([pa.array(texts[:150]), pa.array([], pa.string()), pa.array(texts[150:])])):
+        sizes.append(part.nbytes)
+        got += part.to_pylist()
+    assert got == [segment_text(t, Words(words)) for t in texts]
+    assert max(sizes) < 4e6 and len(sizes) > sum(len(t or "") for t in texts) // HELD_CHARS // 2, sizes
+    D.load_words(spark, words, "in_parts")
+    register_functions(spark, "in_parts")
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").repartition(2)
+    in_one = df.select("i", segment("t", "in_parts", spark=spark).alias("a"), F.expr("thai_segment(t)").alias("b"), F.expr("thai_segment_safe(t)").alias("c"))
+    plan = in_one._jdf.queryExecution().executedPlan().toString()
+    kinds = re.findall(r"ArrowEvalPython .*, (\d+)$", plan, re.M)
+    assert kinds and set(kinds) == {str(PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF)}, plan
+    for r in in_one.collect():
+        assert r.a == (r.b or []) == segment_text(texts[r.i], Words(words)) and (r.c or []) == segment_text(texts[r.i], Words(words), True)
+
+
 def test_plain_equals_core(spark):
     texts = ["a\r\nb\n\n\tc\rd", "x-y 1,234.50,", "ไข่คน2021", "๑๒,๓ ab\U0001f600c", "!!\r"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(segment_plain("t").alias("a")).collect()
